@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.session import table
 
-from . import encodings, forms, pieces, tokens
+from . import curves, encodings, forms, parity, pieces, tokens
 
 
 # --- 1 wrong encodings
@@ -41,6 +41,17 @@ def p3_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forms.unify(pages).select("page_id", F.sha1("text").alias("sha1"), F.length("text").alias("n_chars")).distinct()
 
 
+# --- 4 most similar vectors
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = curves.neighbours(table(spark, sf_dir, "chunk_vectors"), least=0.85)
+    return near.select(F.least("id", "other").alias("vec_id_a"), F.greatest("id", "other").alias("vec_id_b")).distinct()
+
+
+def p4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten most similar of every usable vector."""
+    return curves.neighbours(table(spark, sf_dir, "chunk_vectors")).select("id", "other", F.round("similarity", 4).alias("similarity"), "rank")
+
+
 # --- 5 oversized items
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = None
@@ -61,11 +72,23 @@ def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.distinct()
 
 
+# --- 7 near-duplicates
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = parity.similar_pairs(table(spark, sf_dir, "pages"), "page_id", "text", similarity=0.5, words=3)
+    return pairs.select(F.col("key_a").alias("page_id_a"), F.col("key_b").alias("page_id_b")).distinct()
+
+
+def p7_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The group of every page record, and how many different texts its text is linked to."""
+    out = parity.groups(table(spark, sf_dir, "pages"), "page_id", "text", similarity=0.5, words=3)
+    return out.select(F.col("key").alias("page_id"), "group_id", "links")
+
+
 # --- 8 encoding
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_column(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_restored, p3_found, p3_unified, p5_found, p5_pieces, p8_ids)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_restored, p3_found, p3_unified, p4_found, p4_neighbours, p5_found, p5_pieces, p7_found, p7_groups, p8_ids)}
 
 SQL: dict[str, str] = {}
