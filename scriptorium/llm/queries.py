@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.session import table
 
-from . import curves, encodings, forms, parity, pieces, tokens
+from . import curves, encodings, forms, languages, parity, pieces, tokens
 
 
 # --- 1 wrong encodings
@@ -89,6 +89,21 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_column(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_restored, p3_found, p3_unified, p4_found, p4_neighbours, p5_found, p5_pieces, p7_found, p7_groups, p8_ids)}
+# --- 10 languages
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    rows = languages.label_segments(documents, languages.train(documents, table(spark, sf_dir, "lang_samples")))
+    cases = rows.where("n_segments > 1 OR label <> lang")
+    return cases.select(F.col("key").alias("doc_id"), "seg_no", "lang")
+
+
+def p10_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every segment of every document, with a confidence."""
+    documents = table(spark, sf_dir, "documents")
+    rows = languages.label_segments(documents, languages.train(documents, table(spark, sf_dir, "lang_samples")))
+    return rows.select(F.col("key").alias("doc_id"), "seg_no", "start", "end", "lang", F.round("confidence", 3).alias("confidence"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_restored, p3_found, p3_unified, p4_found, p4_neighbours, p5_found, p5_pieces, p7_found, p7_groups, p8_ids, p10_found, p10_segments)}
 
 SQL: dict[str, str] = {}
