@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.session import table
 
-from . import curves, encodings, forms, languages, parity, pieces, tokens
+from . import bilingual, curves, encodings, forms, languages, parity, pieces, tokens
 
 
 # --- 1 wrong encodings
@@ -72,6 +72,13 @@ def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.distinct()
 
 
+# --- 6 bilingual sentences
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    out = bilingual.translations(pages, table(spark, sf_dir, "glossary"), encodings.train(pages))
+    return out.select("page_id_a", "sent_a", "page_id_b", "sent_b").distinct()
+
+
 # --- 7 near-duplicates
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = parity.similar_pairs(table(spark, sf_dir, "pages"), "page_id", "text", similarity=0.5, words=3)
@@ -104,6 +111,6 @@ def p10_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("key").alias("doc_id"), "seg_no", "start", "end", "lang", F.round("confidence", 3).alias("confidence"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_restored, p3_found, p3_unified, p4_found, p4_neighbours, p5_found, p5_pieces, p7_found, p7_groups, p8_ids, p10_found, p10_segments)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_restored, p3_found, p3_unified, p4_found, p4_neighbours, p5_found, p5_pieces, p6_found, p7_found, p7_groups, p8_ids, p10_found, p10_segments)}
 
 SQL: dict[str, str] = {}
