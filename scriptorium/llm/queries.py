@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.session import table
 
-from . import bilingual, curves, encodings, forms, languages, parity, pieces, tokens
+from . import bilingual, curves, encodings, forms, languages, parity, pieces, scans, tokens
 
 
 # --- 1 wrong encodings
@@ -25,6 +25,17 @@ def p1_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where("_new <> _old").select("page_id", "title", "text").distinct()
 
 
+# --- 2 scans
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return scans.noisy_lines(pages, scans.train(pages)).distinct()
+
+
+def p2_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return scans.repair(pages, scans.train(pages)).distinct()
+
+
 # --- 3 look-alikes
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages, chunks = table(spark, sf_dir, "pages"), table(spark, sf_dir, "chunks")
@@ -111,6 +122,6 @@ def p10_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("key").alias("doc_id"), "seg_no", "start", "end", "lang", F.round("confidence", 3).alias("confidence"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_restored, p3_found, p3_unified, p4_found, p4_neighbours, p5_found, p5_pieces, p6_found, p7_found, p7_groups, p8_ids, p10_found, p10_segments)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_restored, p2_found, p2_repaired, p3_found, p3_unified, p4_found, p4_neighbours, p5_found, p5_pieces, p6_found, p7_found, p7_groups, p8_ids, p10_found, p10_segments)}
 
 SQL: dict[str, str] = {}
