@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.session import table
 
-from . import bilingual, curves, encodings, forms, languages, parity, pieces, scans, tokens
+from . import bilingual, curves, encodings, forms, languages, mixing, parity, pieces, scans, tokens
 
 
 # --- 1 wrong encodings
@@ -107,6 +107,15 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_column(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+# --- 9 mixes
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.shares(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
 # --- 10 languages
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
@@ -122,6 +131,6 @@ def p10_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("key").alias("doc_id"), "seg_no", "start", "end", "lang", F.round("confidence", 3).alias("confidence"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_restored, p2_found, p2_repaired, p3_found, p3_unified, p4_found, p4_neighbours, p5_found, p5_pieces, p6_found, p7_found, p7_groups, p8_ids, p10_found, p10_segments)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_restored, p2_found, p2_repaired, p3_found, p3_unified, p4_found, p4_neighbours, p5_found, p5_pieces, p6_found, p7_found, p7_groups, p8_ids, p9_mix, p9_shares, p10_found, p10_segments)}
 
 SQL: dict[str, str] = {}
