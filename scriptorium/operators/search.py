@@ -42,10 +42,10 @@ def dense_search(vectors: DataFrame, queries: DataFrame, k: int, key: str = "id"
     best of all. Null and all-zero vectors take no part.
     """
     spark = vectors.sparkSession
-    clean = queries.select("qid", F.col("embedding").cast("array<float>").alias("v")).where("v IS NOT NULL AND size(v) > 0")
+    clean = queries.select("qid", F.col("embedding").cast("array<double>").alias("v")).where("v IS NOT NULL AND size(v) > 0")
     kind = vectors.schema[key].dataType
     schema = T.StructType([queries.schema["qid"], T.StructField("id", kind), T.StructField("score", T.DoubleType())])
-    rows = spread(vectors.select(F.col(key).alias("id"), F.col(embedding).cast("array<float>").alias("v")).where("v IS NOT NULL AND size(v) > 0"))
+    rows = spread(vectors.select(F.col(key).alias("id"), F.col(embedding).cast("array<double>").alias("v")).where("v IS NOT NULL AND size(v) > 0"))
     numbered = clean.orderBy("qid").toLocalIterator()  # streamed, a block at a time
     out = None
     while True:
