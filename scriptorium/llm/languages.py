@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 
 from scriptorium.session import spread
 
+from .words import sampled
+
 LANGUAGES = ("en", "cs", "sk", "de", "pl")
 #: Labelled documents that the network is fitted on, at most.
 SAMPLE = 3000
@@ -244,7 +246,7 @@ def train(documents: DataFrame, samples: DataFrame, sample: int = SAMPLE) -> Net
     first.fit(x, np.array([g for _, g in more])[of], 12)
     base = F.lower(F.element_at(F.split(F.trim("lang"), "[-_]"), 1))
     rows = documents.where(base.isin(*LANGUAGES) & (F.length("text") > 60)).select(base.alias("g"), F.col("text").alias("text"))
-    rows = rows.orderBy(F.xxhash64("text")).limit(sample).collect()  # bounded by ``sample``
+    rows = sampled(rows, F.xxhash64("text"), sample, documents.count()).collect()  # bounded by ``sample``
     pool, of_label = [], []
     for r in rows:
         own = units(r.text)[:12]  # of each sampled document, enough for fitting

@@ -6,7 +6,7 @@ import re
 from collections import Counter
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.session import spread
@@ -35,3 +35,14 @@ def count_words(df: DataFrame, columns: list[str], split: str, texts: str | None
         yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
 
     return spread(df.select(*values)).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def sampled(rows: DataFrame, order: Column, n: int, total: int) -> DataFrame:
+    """The first ``n`` rows in the order of a hash, for fitting a model on a bounded sample.
+
+    Of a table of ``total`` rows only the share of hashes that holds about three times ``n`` is sorted, so
+    what tasks send doesn't grow with their number.
+    """
+    share = min(1.0, 3.0 * n / max(1, total))
+    top = F.lit(int(-(2**63) + share * (2**64 - 1)) if share < 1 else 2**63 - 1)
+    return rows.withColumn("_hash", order).where(F.col("_hash") <= top).orderBy("_hash").limit(n).drop("_hash")
