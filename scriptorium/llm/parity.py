@@ -2,7 +2,8 @@
 
 A text is the set of its runs of three successive words. Texts with equal sets form a class, of which one
 stands for all. For each size band that a class can meet a partner in, its shingles are XOR-ed into several
-bit sketches, cut into 64-bit parts: every shingle flips one bit of one part. The Hamming distance of two
+bit sketches, cut into 64-bit parts: every shingle flips one bit of one part. (Parts of fewer than LEAST_BITS
+bits, a small share, are not paired on: that they are equal says little.) The Hamming distance of two
 sketches is never more than the symmetric difference of the sets, so a sketch of p parts has an equal part
 in both texts whenever the sets differ in fewer than p shingles (the pigeonhole). Bands are made for pair
 sizes (the sum of both sets), since that is what the similarity bound turns into a bound on the difference;
@@ -10,9 +11,9 @@ within a band the number of parts follows the size and enough sketches with seed
 ``parts`` parts in all. Equal parts make candidates; a candidate stays if the Hamming distance of its whole
 first sketches is within the bound of the difference, and the survivors are verified on the sets.
 
-Below the pigeonhole's range a pair is met with a probability: at the bound of 0.5 each of its parts is equal
-with probability exp(-4.7), so about 0.7 to 0.9 of such pairs are found, 0.98 at 0.6, all but one in a
-thousand from 0.65 on; measured figures are in the README.
+Below the pigeonhole's range a pair is met with a probability, the product over the parts of the bands that both
+texts are in: by the Poisson estimate for parts equal by chance, about 0.99 right at the bound of 0.5, more than
+0.999 from 0.55 on; measured figures are in the README.
 
 Results in special cases: null and empty texts and texts of fewer than three words have an empty set and no
 partner; repeated rows (equal key) count once; columns other than key and text are not read.
@@ -31,6 +32,8 @@ from pyspark.sql import functions as F
 from scriptorium.session import cut, spread
 
 WORD = re.compile(r"[^\W_]+")
+#: Bits that a part must have to pair on; sets of fewer shingles than SMALL pair on any.
+LEAST_BITS, SMALL = 3, 40
 MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -130,7 +133,7 @@ def _sets(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
 
 
 def _part_keys(classes: DataFrame, bands: Bands) -> DataFrame:
-    """part (hash of band, sketch, place and bits), class id, size; parts without a set bit are left out."""
+    """part (hash of band, sketch, place and bits), class id, size; parts of too few set bits are left out."""
 
     def run(batches):
         for batch in batches:
@@ -152,7 +155,8 @@ def _part_keys(classes: DataFrame, bands: Bands) -> DataFrame:
                         words = sketch(keys, row, len(own), each, level * 1000 + seed)
                         with np.errstate(over="ignore"):
                             name = mix(words + np.arange(each, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93), level * 1000 + seed)
-                        r, c = np.nonzero(words)
+                        # One or two shingles alone are shared by texts that have nothing else in common.
+                        r, c = np.nonzero(np.bitwise_count(words) >= np.where(sizes[own] < SMALL, 1, LEAST_BITS)[:, None])
                         out_k.append(name[r, c])
                         out_i.append(np.asarray(own)[r])
                 k = np.concatenate(out_k).view(np.int64) if out_k else np.zeros(0, np.int64)
