@@ -94,7 +94,8 @@ class Bands:
         return round(2 * math.log2(pair))
 
     def of(self, size: int) -> range:
-        return range(self.level(size + max(1, math.ceil(size * self.similarity))), self.level(size + size / self.similarity) + 1)
+        # The bands of all pair sizes, and one of finer parts, for pairs whose sizes differ most.
+        return range(self.level(size + max(1, math.ceil(size * self.similarity))), self.level(size + size / self.similarity) + 2)
 
     def shape(self, level: int) -> tuple[int, int]:
         """(parts of a sketch, number of sketches)."""
