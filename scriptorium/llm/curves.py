@@ -185,5 +185,6 @@ def neighbours(vectors: DataFrame, key: str = "vec_id", embedding: str = "embedd
     found = sorted_.mapInArrow(run, "id long, other long, s float")
     # What one side finds, the other side gets as well.
     both = found.unionByName(found.select(F.col("other").alias("id"), F.col("id").alias("other"), "s")).groupBy("id", "other").agg(F.max("s").alias("s"))
-    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("s"), "other"))
+    # Products of one pair may differ in the last bits from block to block; equal vectors tie by id.
+    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.round("s", 5).desc(), "other"))
     return both.withColumn("rank", rank).where(f"rank <= {k}").select("id", "other", F.col("s").cast("double").alias("similarity"), "rank")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from scriptorium.session import table
 
 from . import bilingual, curves, encodings, forms, languages, mixing, parity, pieces, scans, tokens
+from .sql import SQL
 
 
 # --- 1 wrong encodings
@@ -131,6 +132,7 @@ def p10_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("key").alias("doc_id"), "seg_no", "start", "end", "lang", F.round("confidence", 3).alias("confidence"))
 
 
+__all__ = ["QUERIES", "SQL"]
+
 QUERIES = {f.__name__: f for f in (p1_found, p1_restored, p2_found, p2_repaired, p3_found, p3_unified, p4_found, p4_neighbours, p5_found, p5_pieces, p6_found, p7_found, p7_groups, p8_ids, p9_mix, p9_shares, p10_found, p10_segments)}
 
-SQL: dict[str, str] = {}
