@@ -7,7 +7,7 @@ of a window are kept. The candidates of all curves merge, distinct, and the ``k`
 Rows at the edge of a range are also sent to the range beside it, so no window is cut short there.
 
 Results in special cases: null vectors, vectors with a null or non-finite number and all-zero ones take no
-part; repeated rows (equal id) count once; equal vectors are neighbours with similarity 1; ties go to the
+part; vectors of unlike length are no neighbours; repeated rows (equal id) count once; equal vectors are neighbours with similarity 1; ties go to the
 smaller id; fewer than ``k`` others give fewer rows. Every usable vector is indexed and is a query.
 """
 
@@ -61,6 +61,7 @@ def directions(dimension: int, curve: int, count: int) -> tuple[np.ndarray, np.n
 
 
 def place(x: np.ndarray, curve: int, count: int = DIRECTIONS, bits: int = BITS) -> np.ndarray:
+    count = min(count, x.shape[1])
     base, shift = directions(x.shape[1], curve, count)
     # Unit vectors' projections lie within a few times 1/sqrt(d); the shift moves the grid, not the scale.
     scale = 4.0 / np.sqrt(x.shape[1])
@@ -95,7 +96,7 @@ def usable(vectors: DataFrame, key: str, embedding: str) -> DataFrame:
 
 
 def _keys(unit: DataFrame, curves: int) -> DataFrame:
-    """curve, key, id: the place of every vector on every curve."""
+    """curve, key, id: the place of every vector on every curve. Vectors of unlike length lie on curves of their own."""
 
     def run(batches):
         for batch in batches:
@@ -109,7 +110,7 @@ def _keys(unit: DataFrame, curves: int) -> DataFrame:
                 x = np.frombuffer(b"".join([raw[i] for i in own]), np.float32).reshape(len(own), -1)
                 part = batch.take(pa.array(own))
                 for c in range(curves):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), c, np.int32)), pa.array(place(x, c)), part.column(0)], names=["curve", "key", "id"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), c + 1000 * x.shape[1], np.int32)), pa.array(place(x, c)), part.column(0)], names=["curve", "key", "id"])
 
     return unit.mapInArrow(run, "curve int, key long, id long")
 

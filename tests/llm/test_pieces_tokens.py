@@ -47,9 +47,9 @@ def test_kinds_of_boundary():
 
 
 def test_fewest_pieces_of_even_length():
-    _, own = pieces.cut("Věta má slova. " * 280)
+    _, own = pieces.cut("Věta má slova. " * 270)
     sizes = [e - s for _, s, e in own]
-    assert len(own) == -(-len(("Věta má slova. " * 280).strip()) // 1400) and max(sizes) - min(sizes) < 60
+    assert len(own) == -(-len(("Věta má slova. " * 270).strip()) // 1400) and max(sizes) - min(sizes) < 60
 
 
 def test_split_rows(spark):

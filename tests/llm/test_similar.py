@@ -106,6 +106,6 @@ def test_hilbert_is_a_curve():
 
 
 def test_few_vectors(spark):
-    df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [0.0, 1.0])], "vec_id long, embedding array<float>")
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [0.0, 1.0]), (4, [1.0, 0.0, 0.0]), (5, [1.0, 0.0, 0.1])], "vec_id long, embedding array<float>")
     got = {(r.id, r.rank): (r.other, round(r.similarity, 5)) for r in curves.neighbours(df).collect()}
-    assert got[1, 1] == (2, 1.0) and got[2, 1] == (1, 1.0) and len(got) == 6
+    assert got[1, 1] == (2, 1.0) and got[2, 1] == (1, 1.0) and got[4, 1][0] == 5 and len(got) == 8
