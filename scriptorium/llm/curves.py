@@ -6,6 +6,11 @@ the sorted order every vector is compared with a window of its neighbours by mat
 of a window are kept. The candidates of all curves merge, distinct, and the ``k`` best by cosine remain.
 Rows at the edge of a range are also sent to the range beside it, so no window is cut short there.
 
+Windows find the close neighbours; where a vector has none, its ten best are hardly nearer than others and
+many directions would be needed. So the lists are merged and reranked once more among themselves, ``rounds``
+times: a vector's neighbours, and those that have it as one, are compared with each other, and a list takes
+what is better than its last entry. A vector that very many have as a neighbour is split into blocks.
+
 Results in special cases: null vectors, vectors with a null or non-finite number and all-zero ones take no
 part; vectors of unlike length are no neighbours; repeated rows (equal id) count once; equal vectors are neighbours with similarity 1; ties go to the
 smaller id; fewer than ``k`` others give fewer rows. Every usable vector is indexed and is a query.
@@ -119,11 +124,13 @@ def _top(score: np.ndarray, k: int) -> np.ndarray:
     return np.argpartition(-score, k - 1, axis=1)[:, :k] if score.shape[1] > k else np.tile(np.arange(score.shape[1]), (len(score), 1))
 
 
-def neighbours(vectors: DataFrame, key: str = "vec_id", embedding: str = "embedding", k: int = 10, least: float = -2.0, curves: int = CURVES, window: int = WINDOW) -> DataFrame:
+def neighbours(vectors: DataFrame, key: str = "vec_id", embedding: str = "embedding", k: int = 10, least: float = -2.0, curves: int = CURVES, window: int = WINDOW, rounds: int = 1, lists: int | None = None) -> DataFrame:
     """id, other, similarity, rank (from 1): the ``k`` most similar others of every usable vector.
 
+    ``lists`` is the length of the lists while they are made (``k`` if not given); longer ones find more.
     ``least`` leaves out neighbours below a similarity after the ``k`` best are known; the search is the same.
     """
+    wanted, k = k, max(k, lists or k)
     unit = cut(usable(vectors, key, embedding))
     rows = _keys(unit, curves)
     parts = max(unit.sparkSession.sparkContext.defaultParallelism * 2, curves)
@@ -185,7 +192,65 @@ def neighbours(vectors: DataFrame, key: str = "vec_id", embedding: str = "embedd
 
     found = sorted_.mapInArrow(run, "id long, other long, s float")
     # What one side finds, the other side gets as well.
-    both = found.unionByName(found.select(F.col("other").alias("id"), F.col("id").alias("other"), "s")).groupBy("id", "other").agg(F.max("s").alias("s"))
+    near = _ranked(found.unionByName(found.select(F.col("other").alias("id"), F.col("id").alias("other"), "s")), k)
+    for _ in range(rounds):
+        near = cut(near)
+        near = _ranked(near.select("id", "other", "s").unionByName(_exchange(near, unit, k, least, parts)), k)
+    return near.where(f"rank <= {wanted}").select("id", "other", F.col("s").cast("double").alias("similarity"), "rank")
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    best = found.groupBy("id", "other").agg(F.max("s").alias("s"))
     # Products of one pair may differ in the last bits from block to block; equal vectors tie by id.
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.round("s", 5).desc(), "other"))
-    return both.withColumn("rank", rank).where(f"rank <= {k}").select("id", "other", F.col("s").cast("double").alias("similarity"), "rank")
+    return best.withColumn("rank", rank).where(f"rank <= {k}")
+
+
+#: Members of one block of a vector's surroundings.
+AROUND = 64
+
+
+def _exchange(near: DataFrame, unit: DataFrame, k: int, least: float, parts: int) -> DataFrame:
+    """id, other, s of pairs with a common neighbour that one of them lacks."""
+    last = near.groupBy("id").agg(F.when(F.count("*") < k, F.lit(least)).otherwise(F.min("s")).cast("float").alias("last"))
+    known = unit.join(last, "id", "left").select("id", "v", F.coalesce("last", F.lit(least).cast("float")).alias("last"))
+    hub = near.select(F.col("id").alias("hub"), F.col("other").alias("id")).unionByName(near.select(F.col("other").alias("hub"), "id")).distinct()
+    size = hub.groupBy("hub").agg(F.ceil(F.count("*") / AROUND).cast("int").alias("blocks"))
+    placed = hub.join(size, "hub").select("hub", "id", F.expr("pmod(xxhash64(id), blocks)").cast("int").alias("block"))
+    rows = placed.join(known, "id").select("hub", "block", "id", "last", "v").repartition(parts, "hub", "block").sortWithinPartitions("hub", "block")
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            part = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)] + [np.array(batch.column(4).to_pylist(), dtype=object)]
+            if held is not None:
+                part = [np.concatenate(x) for x in zip(held, part)]
+            change = np.flatnonzero((part[0][1:] != part[0][:-1]) | (part[1][1:] != part[1][:-1])) + 1
+            stop = int(change[-1]) if len(change) else 0
+            held = [c[stop:] for c in part]
+            yield from compare([c[:stop] for c in part], change[:-1] if len(change) else change)
+        if held is not None:
+            yield from compare(held, np.zeros(0, np.int64))
+
+    def compare(part, change):
+        if not len(part[0]):
+            return
+        ids, last, raw = part[2], part[3], part[4]
+        out_a, out_b, out_s = [], [], []
+        for a, b in zip([0, *change], [*change, len(ids)]):
+            if b - a < 2 or len({len(r) for r in raw[a:b]}) > 1:
+                continue
+            x = np.frombuffer(b"".join(raw[a:b]), np.float32).reshape(b - a, -1)
+            s = x @ x.T
+            np.fill_diagonal(s, -3)
+            i, j = np.nonzero(s > np.maximum(last[a:b, None], least - 1e-6))
+            if len(i):
+                out_a.append(ids[a + i])
+                out_b.append(ids[a + j])
+                out_s.append(s[i, j])
+        if out_a:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (out_a, out_b, out_s)], names=["id", "other", "s"])
+
+    return rows.mapInArrow(run, "id long, other long, s float")

@@ -61,7 +61,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten most similar of every usable vector."""
-    return curves.neighbours(table(spark, sf_dir, "chunk_vectors")).select("id", "other", F.round("similarity", 4).alias("similarity"), "rank")
+    return curves.neighbours(table(spark, sf_dir, "chunk_vectors"), rounds=2, lists=18).select("id", "other", F.round("similarity", 4).alias("similarity"), "rank")
 
 
 # --- 5 oversized items
