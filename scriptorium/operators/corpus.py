@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.functions import urls as U
 from scriptorium.session import cut
 
 
-def page_stats(pages: DataFrame) -> DataFrame:
-    """Pages and characters per language and edition."""
-    return pages.groupBy("lang", "edition").agg(F.count("*").alias("pages"), F.sum(F.length("text")).alias("chars"))
+def page_stats(pages: DataFrame, length: Column | None = None) -> DataFrame:
+    """Pages and characters per language and edition; ``length`` if it is known already."""
+    return pages.groupBy("lang", "edition").agg(F.count("*").alias("pages"), F.sum(F.length("text") if length is None else length).alias("chars"))
 
 
 def chapter_counts(pages: DataFrame, lang: str = "cs", edition: str = "full") -> DataFrame:

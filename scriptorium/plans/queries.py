@@ -37,7 +37,8 @@ def pages_(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- statistics
 @query("SELECT lang, edition, count(*) AS pages, sum(length(text)) AS chars FROM (SELECT DISTINCT page_id, lang, edition, text FROM pages) GROUP BY lang, edition")
 def corpus_page_stats(spark, sf_dir):
-    return corpus.page_stats(pages_(spark, sf_dir).select("page_id", "lang", "edition", "text").distinct())
+    # lengths move, not texts
+    return corpus.page_stats(pages_(spark, sf_dir).select("page_id", "lang", "edition", F.length("text").alias("n")).distinct(), F.col("n"))
 
 
 @query("SELECT source, count(*) AS docs, sum(n_chars) AS chars FROM documents GROUP BY source")
@@ -224,8 +225,7 @@ def chapter_section_rule(spark, sf_dir):
 # --- chunks
 @query()
 def chunk_windows(spark, sf_dir):
-    rows = pages_(spark, sf_dir).select("page_id", "text").distinct()
-    return chunking.windows(rows, "page_id", "text").select("page_id", "ordinal", F.length("body").alias("n"), F.sha1("body").alias("digest"))
+    return chunking.windows(pages_(spark, sf_dir), "page_id", "text").select("page_id", "ordinal", F.length("body").alias("n"), F.sha1("body").alias("digest")).distinct()
 
 
 PIECES = f"""

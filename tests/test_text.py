@@ -84,7 +84,7 @@ def test_chances_of_yes(spark):
 
 
 def test_split_key_and_escape(spark):
-    assert tuple(one(spark, X.split_key("k"), k="ollama:qwen:8b")) == ("ollama", "qwen:8b")
+    assert tuple(one(spark, X.split_key("k"), k="local:model:8b")) == ("local", "model:8b")
     assert tuple(one(spark, X.split_key("k"), k="st")) == ("st", "")
     assert one(spark, X.escape_html("t"), t="<a href='x'>&\"") == "&lt;a href=&#39;x&#39;&gt;&amp;&quot;"
 
