@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.session import spread
+from scriptorium.session import cut, spread
 
 
 def count_words(df: DataFrame, columns: list[str], split: str, texts: str | None = None) -> DataFrame:
@@ -46,3 +46,20 @@ def sampled(rows: DataFrame, order: Column, n: int, total: int) -> DataFrame:
     share = min(1.0, 3.0 * n / max(1, total))
     top = F.lit(int(-(2**63) + share * (2**64 - 1)) if share < 1 else 2**63 - 1)
     return rows.withColumn("_hash", order).where(F.col("_hash") <= top).orderBy("_hash").limit(n).drop("_hash")
+
+
+def most_frequent(counts: DataFrame, most: int, n: str = "n") -> list:
+    """The rows with the highest counts, ``most`` at most, without sorting.
+
+    A histogram of the counts by powers of two says which power leaves few enough rows; those alone are
+    fetched. A sorted limit would have every task send ``most`` rows.
+    """
+    counts = cut(counts)
+    power = F.floor(F.log2(F.col(n))).cast("int")
+    sizes = {r.p: r.c for r in counts.groupBy(power.alias("p")).agg(F.count("*").alias("c")).collect()}  # 64 rows at most
+    kept, least = 0, 64
+    for p in sorted(sizes, reverse=True):
+        if kept + sizes[p] > most:
+            break
+        kept, least = kept + sizes[p], p
+    return counts.where(F.col(n) >= F.lit(2**least if least < 63 else 2**63 - 1)).collect()
