@@ -424,7 +424,7 @@ TITLES = "SELECT page_id AS qid, title AS q FROM (SELECT DISTINCT page_id, title
 WITH {bm25_sql(TITLES).strip()}, top AS ({ranked('s', 10)}), e AS (SELECT DISTINCT page_id AS qid, chapter, section FROM pages WHERE page_id % 100 = 0 AND chapter IS NOT NULL),
 j AS (SELECT e.qid, e.section AS want, coalesce(c.chapter = e.chapter, false) AS ok, coalesce(c.section = e.section, false) AS sec, top.rank FROM e LEFT JOIN top USING (qid) LEFT JOIN (SELECT DISTINCT id, chapter, section FROM chunks) c USING (id)),
 g AS (SELECT qid, max((ok AND rank = 0)::INT) AS c1, max(ok::INT) AS ck, max((want IS NOT NULL)::INT) AS has, max((sec AND rank = 0)::INT) AS s1, max((sec AND rank < 3)::INT) AS s3 FROM j GROUP BY qid)
-SELECT count(*) AS total, coalesce(sum(c1), 0)::BIGINT AS chapter_1, sum(ck)::BIGINT AS chapter_k, sum(has)::BIGINT AS sec_total, coalesce(sum(s1), 0)::BIGINT AS sec_1, coalesce(sum(s3), 0)::BIGINT AS sec_3 FROM g""")
+SELECT count(*) AS total, coalesce(sum(c1), 0)::BIGINT AS chapter_1, coalesce(sum(ck), 0)::BIGINT AS chapter_k, coalesce(sum(has), 0)::BIGINT AS sec_total, coalesce(sum(s1), 0)::BIGINT AS sec_1, coalesce(sum(s3), 0)::BIGINT AS sec_3 FROM g""")
 def hit_at_k_chapter(spark, sf_dir):
     own = pages_(spark, sf_dir).where("page_id % 100 = 0 AND chapter IS NOT NULL").select(F.col("page_id").alias("qid"), F.col("title").alias("q"), "chapter", "section").distinct()
     top = search.bm25_search(lexical_(spark, sf_dir, own.select("qid", "q")), None, 10).join(chunks_(spark, sf_dir, "chapter", "section"), "id")
