@@ -2,14 +2,25 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def reach(spark: SparkSession) -> SparkSession:
+    """``spark``, whose Python workers will find this package wherever they are started."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    path = env.get("PYTHONPATH", "")
+    if root not in path.split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, path]))
+    return spark
+
+
 def local_session(cores: int = 8, name: str = "scriptorium") -> SparkSession:
     """A session for one machine; on a cluster use the session that is given."""
-    return (
+    return reach(
         SparkSession.builder.master(f"local[{cores}]")
         .appName(name)
         .config("spark.sql.shuffle.partitions", str(cores))
