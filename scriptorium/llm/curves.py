@@ -1,6 +1,8 @@
 """Most similar vectors for every vector, by shifted space-filling curves (problem 4).
 
-Vectors are normalised and, for each of several curves, projected onto a few random directions, shifted, cut
+Vectors are normalised, and those that are equal then (to GRID in each number) form a class, of which the member
+with the smallest id stands for all; everything up to the last step runs over these distinct vectors, so copies
+take no room in windows and lists. For each of several curves, vectors are projected onto a few random directions, shifted, cut
 to a grid and placed along a Hilbert curve. Each curve's keys are range-partitioned and sorted in Spark; in
 the sorted order every vector is compared with a window of its neighbours by matrix products, and the best
 of a window are kept. The candidates of all curves merge, distinct, and the ``k`` best by cosine remain.
@@ -10,6 +12,7 @@ Windows find the close neighbours; where a vector has none, its ten best are har
 many directions would be needed. So the lists are merged and reranked once more among themselves, ``rounds``
 times: a vector's neighbours, and those that have it as one, are compared with each other, and a list takes
 what is better than its last entry. A vector that very many have as a neighbour is split into blocks.
+At last the classes of a list, and the vector's own class with similarity 1, are expanded to their smallest ids.
 
 Results in special cases: null vectors, vectors with a null or non-finite number and all-zero ones take no
 part; vectors of unlike length are no neighbours; repeated rows (equal id) count once; equal vectors are neighbours with similarity 1; ties go to the
@@ -18,6 +21,8 @@ smaller id; fewer than ``k`` others give fewer rows. Every usable vector is inde
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -26,6 +31,8 @@ from pyspark.sql import functions as F
 from scriptorium.session import cut, spread
 
 CURVES, DIRECTIONS, BITS, WINDOW = 12, 6, 10, 384
+#: Unit vectors that agree to this in each number are equal; copies scaled in float32 differ by about 1e-8.
+GRID = 2.0**-20
 BLOCK = 256
 
 
@@ -75,7 +82,7 @@ def place(x: np.ndarray, curve: int, count: int = DIRECTIONS, bits: int = BITS)
 
 
 def usable(vectors: DataFrame, key: str, embedding: str) -> DataFrame:
-    """id, v (unit length, as bytes of float32), once per id."""
+    """id, v (unit length, as bytes of float32), digest (of v on the grid), once per id."""
 
     def run(batches):
         for batch in batches:
@@ -85,7 +92,7 @@ def usable(vectors: DataFrame, key: str, embedding: str) -> DataFrame:
                 flat, offsets = column.flatten(), np.diff(column.offsets.to_numpy())
                 even = len(set(offsets.tolist())) == 1 and not flat.null_count
                 rows = flat.to_numpy().reshape(len(column), -1) if even else column.to_pylist()
-            good, out = [], []
+            good, out, digests = [], [], []
             for i, r in enumerate(rows):
                 if r is None or len(r) == 0 or any(z is None for z in r) if not isinstance(r, np.ndarray) else False:
                     continue
@@ -94,10 +101,11 @@ def usable(vectors: DataFrame, key: str, embedding: str) -> DataFrame:
                 if np.isfinite(size) and size > 0:
                     good.append(i)
                     out.append((v / size).astype(np.float32).tobytes())
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(good, pa.int64())).cast(pa.int64()), pa.array(out, pa.binary())], names=["id", "v"])
+                    digests.append(blake2b(np.rint(v / size / GRID).astype(np.int32).tobytes(), digest_size=16).digest())
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(good, pa.int64())).cast(pa.int64()), pa.array(out, pa.binary()), pa.array(digests, pa.binary())], names=["id", "v", "digest"])
 
     rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(embedding).cast("array<float>").alias("e")).where(F.col("id").isNotNull() & F.col("e").isNotNull())
-    return spread(rows).mapInArrow(run, "id long, v binary").dropDuplicates(["id"])
+    return spread(rows).mapInArrow(run, "id long, v binary, digest binary").dropDuplicates(["id"])
 
 
 def _keys(unit: DataFrame, curves: int) -> DataFrame:
@@ -120,8 +128,17 @@ def _keys(unit: DataFrame, curves: int) -> DataFrame:
     return unit.mapInArrow(run, "curve int, key long, id long")
 
 
-def _top(score: np.ndarray, k: int) -> np.ndarray:
-    return np.argpartition(-score, k - 1, axis=1)[:, :k] if score.shape[1] > k else np.tile(np.arange(score.shape[1]), (len(score), 1))
+def _top(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Columns of the ``k`` best of every row; what is equal to five digits goes by the smaller of ``ids``."""
+    if score.shape[1] <= k:
+        return np.tile(np.arange(score.shape[1]), (len(score), 1))
+    best = np.argpartition(-score, k - 1, axis=1)[:, :k]
+    least = np.take_along_axis(score, best, 1).min(1)
+    tied = np.flatnonzero((score >= least[:, None] - 2e-5).sum(1) > k)
+    if len(tied):
+        near = np.round(score[tied].astype(np.float64), 5)
+        best[tied] = np.lexsort((np.broadcast_to(ids, near.shape), -near), axis=1)[:, :k]
+    return best
 
 
 def neighbours(vectors: DataFrame, key: str = "vec_id", embedding: str = "embedding", k: int = 10, least: float = -2.0, curves: int = CURVES, window: int = WINDOW, rounds: int = 1, lists: int | None = None) -> DataFrame:
@@ -131,7 +148,10 @@ def neighbours(vectors: DataFrame, key: str = "vec_id", embedding: str = "embedd
     ``least`` leaves out neighbours below a similarity after the ``k`` best are known; the search is the same.
     """
     wanted, k = k, max(k, lists or k)
-    unit = cut(usable(vectors, key, embedding))
+    everyone = cut(usable(vectors, key, embedding))
+    unit = cut(everyone.groupBy("digest").agg(F.min_by("v", "id").alias("v"), F.min("id").alias("id")))
+    members = everyone.select("digest", F.col("id").alias("member")).join(unit.select("digest", "id"), "digest").select("id", "member")
+    unit = unit.select("id", "v")
     rows = _keys(unit, curves)
     parts = max(unit.sparkSession.sparkContext.defaultParallelism * 2, curves)
     ranged = rows.repartitionByRange(parts, "curve", "key").sortWithinPartitions("curve", "key", "id")
@@ -156,7 +176,7 @@ def neighbours(vectors: DataFrame, key: str = "vec_id", embedding: str = "embedd
             lo, hi = max(0, a - window), min(len(ids), b + window)
             s = x[mine] @ x[lo:hi].T
             s[np.arange(len(mine)), mine - lo] = -3
-            best = _top(s, k)
+            best = _top(s, ids[lo:hi], k)
             got = np.take_along_axis(s, best, 1)
             keep = (got > -2.5) & (got >= least)
             r, c = np.nonzero(keep)
@@ -196,7 +216,7 @@ def neighbours(vectors: DataFrame, key: str = "vec_id", embedding: str = "embedd
     for _ in range(rounds):
         near = cut(near)
         near = _ranked(near.select("id", "other", "s").unionByName(_exchange(near, unit, k, least, parts)), k)
-    return near.where(f"rank <= {wanted}").select("id", "other", F.col("s").cast("double").alias("similarity"), "rank")
+    return _expanded(near, members, wanted)
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:
@@ -206,25 +226,39 @@ def _ranked(found: DataFrame, k: int) -> DataFrame:
     return best.withColumn("rank", rank).where(f"rank <= {k}")
 
 
+def _expanded(near: DataFrame, members: DataFrame, k: int) -> DataFrame:
+    """id, other, similarity, rank of all members, from the lists of their classes."""
+    # One more than ``k``, since a member is no neighbour of its own.
+    small = members.withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy("member"))).where(f"n <= {k + 1}").drop("n")
+    own = small.select("id", F.col("member").alias("other"), F.lit(1.0).alias("s"))
+    across = near.select(F.col("id").alias("class"), F.col("other").alias("id"), F.col("s").cast("double").alias("s")).join(small, "id").select(F.col("class").alias("id"), F.col("member").alias("other"), "s")
+    order = Window.partitionBy("id").orderBy(F.round("s", 5).desc(), "other")
+    best = own.unionByName(across).withColumn("rank", F.row_number().over(order)).where(f"rank <= {k + 1}")
+    lists = best.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("rank", "other", "s"))).alias("list"))
+    rows = members.join(lists, "id").select("member", F.posexplode(F.expr(f"slice(filter(list, x -> x.other <> member), 1, {k})")).alias("at", "x"))
+    return rows.select(F.col("member").alias("id"), F.col("x.other").alias("other"), F.col("x.s").alias("similarity"), (F.col("at") + 1).alias("rank"))
+
+
 #: Members of one block of a vector's surroundings.
 AROUND = 64
 
 
 def _exchange(near: DataFrame, unit: DataFrame, k: int, least: float, parts: int) -> DataFrame:
     """id, other, s of pairs with a common neighbour that one of them lacks."""
-    last = near.groupBy("id").agg(F.when(F.count("*") < k, F.lit(least)).otherwise(F.min("s")).cast("float").alias("last"))
-    known = unit.join(last, "id", "left").select("id", "v", F.coalesce("last", F.lit(least).cast("float")).alias("last"))
+    full = F.count("*") >= k
+    last = near.groupBy("id").agg(F.when(full, F.min("s")).otherwise(F.lit(least)).cast("float").alias("last"), F.when(full, F.max_by("other", "rank")).alias("end"))
+    known = unit.join(last, "id", "left").select("id", "v", F.coalesce("last", F.lit(least).cast("float")).alias("last"), F.coalesce("end", F.lit(-(2**63))).alias("end"))
     hub = near.select(F.col("id").alias("hub"), F.col("other").alias("id")).unionByName(near.select(F.col("other").alias("hub"), "id")).distinct()
     size = hub.groupBy("hub").agg(F.ceil(F.count("*") / AROUND).cast("int").alias("blocks"))
     placed = hub.join(size, "hub").select("hub", "id", F.expr("pmod(xxhash64(id), blocks)").cast("int").alias("block"))
-    rows = placed.join(known, "id").select("hub", "block", "id", "last", "v").repartition(parts, "hub", "block").sortWithinPartitions("hub", "block")
+    rows = placed.join(known, "id").select("hub", "block", "id", "last", "end", "v").repartition(parts, "hub", "block").sortWithinPartitions("hub", "block")
 
     def run(batches):
         held = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            part = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)] + [np.array(batch.column(4).to_pylist(), dtype=object)]
+            part = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)] + [np.array(batch.column(5).to_pylist(), dtype=object)]
             if held is not None:
                 part = [np.concatenate(x) for x in zip(held, part)]
             change = np.flatnonzero((part[0][1:] != part[0][:-1]) | (part[1][1:] != part[1][:-1])) + 1
@@ -237,7 +271,7 @@ def _exchange(near: DataFrame, unit: DataFrame, k: int, least: float, parts: int
     def compare(part, change):
         if not len(part[0]):
             return
-        ids, last, raw = part[2], part[3], part[4]
+        ids, last, end, raw = part[2:]
         out_a, out_b, out_s = [], [], []
         for a, b in zip([0, *change], [*change, len(ids)]):
             if b - a < 2 or len({len(r) for r in raw[a:b]}) > 1:
@@ -245,7 +279,11 @@ def _exchange(near: DataFrame, unit: DataFrame, k: int, least: float, parts: int
             x = np.frombuffer(b"".join(raw[a:b]), np.float32).reshape(b - a, -1)
             s = x @ x.T
             np.fill_diagonal(s, -3)
-            i, j = np.nonzero(s > np.maximum(last[a:b, None], least - 1e-6))
+            i, j = np.nonzero(s > np.maximum(last[a:b, None] - 2e-5, least - 1e-6))
+            # Better than the last entry, or equal to it to five digits and of a smaller id.
+            new, old = np.round(s[i, j].astype(np.float64), 5), np.round(last[a + i].astype(np.float64), 5)
+            better = (new > old) | (new == old) & (ids[a + j] < end[a + i]) | (end[a + i] == -(2**63))
+            i, j = i[better], j[better]
             if len(i):
                 out_a.append(ids[a + i])
                 out_b.append(ids[a + j])

@@ -109,3 +109,27 @@ def test_few_vectors(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [0.0, 1.0]), (4, [1.0, 0.0, 0.0]), (5, [1.0, 0.0, 0.1])], "vec_id long, embedding array<float>")
     got = {(r.id, r.rank): (r.other, round(r.similarity, 5)) for r in curves.neighbours(df).collect()}
     assert got[1, 1] == (2, 1.0) and got[2, 1] == (1, 1.0) and got[4, 1][0] == 5 and len(got) == 8
+
+
+def test_copies_take_no_room_and_go_by_id(spark):
+    rng = np.random.default_rng(11)
+    base = rng.standard_normal((400, 16))
+    base[:40] = base[0] + 0.05 * rng.standard_normal((40, 16))  # near the large group, on its both sides
+    base[40:80] = base[40] + 0.05 * rng.standard_normal((40, 16))
+    x = np.concatenate([base, np.repeat(base[:1], 5000, 0), np.repeat(base[40:41], 50, 0)])
+    x = x[rng.permutation(len(x))] * rng.uniform(0.3, 30, (len(x), 1))
+    x = x.astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {}
+    for r in curves.neighbours(df, window=64).collect():
+        got.setdefault(r.id, {})[r.rank] = r.other
+    u = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    copies = np.flatnonzero((np.round(u @ u.T, 5) == 1).sum(1) > 1)
+    near = np.flatnonzero(((u @ u[copies].T).max(1) > 0.97) & ~np.isin(np.arange(len(x)), copies))
+    assert len(copies) == 5052 and len(near) > 60 and len(got) == len(x)
+    for q in [*copies[::50], *near]:
+        s = u @ u[q]
+        s[q] = -2
+        ours, want = [got[q][k] for k in range(1, 11)], np.lexsort((np.arange(len(x)), -np.round(s, 5)))[:10]
+        # float32 may round the fifth digit of unlike vectors the other way; copies have to be the same ones.
+        assert np.allclose(s[ours], s[want], atol=1.1e-5) and [o for o in ours if o in copies] == [o for o in want if o in copies]
