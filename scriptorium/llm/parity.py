@@ -11,9 +11,10 @@ within a band the number of parts follows the size and enough sketches with seed
 ``parts`` parts in all. Equal parts make candidates; a candidate stays if the Hamming distance of its whole
 first sketches is within the bound of the difference, and the survivors are verified on the sets.
 
-Below the pigeonhole's range a pair is met with a probability, the product over the parts of the bands that both
-texts are in: by the Poisson estimate for parts equal by chance, about 0.99 right at the bound of 0.5, more than
-0.999 from 0.55 on; measured figures are in the README.
+Below the pigeonhole's range a pair is met with a probability, from the parts of the bands that both texts are in.
+Pairs of equal sizes share four bands, those of the worst size ratio only two, and the width of a part is chosen
+for these: by the estimate in ``Bands.miss`` fewer than one pair in 10,000 is missed right at the bound of 0.5, of
+any size and ratio, and far fewer above it or at nearer sizes.
 
 Results in special cases: null and empty texts and texts of fewer than three words have an empty set and no
 partner; repeated rows (equal key) count once; columns other than key and text are not read.
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from scriptorium.session import cut, spread
 
 WORD = re.compile(r"[^\W_]+")
-#: Bits that a part must have to pair on; sets of fewer shingles than SMALL pair on any.
+#: Bits that a part must have to pair on; in bands of pairs of fewer shingles than 2 * SMALL any part pairs.
 LEAST_BITS, SMALL = 3, 40
 MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -103,6 +104,19 @@ class Bands:
         return each, max(1, -(-self.parts // each))
 
 
+    def miss(self, a: int, b: int) -> float:
+        """Estimated chance that two sets of these sizes right at the bound have no part in common that pairs."""
+        differ = self.loss * (a + b)
+        log = 0.0
+        for level in set(self.of(a)) & set(self.of(b)):
+            each, count = self.shape(level)
+            common = (a + b - differ) / 2 / each
+            least = 1 if level < self.level(2 * SMALL) else LEAST_BITS
+            enough = 1 - sum(math.exp(-common) * common**i / math.factorial(i) for i in range(least))
+            log += each * count * math.log1p(-min(1 - 1e-12, (1 - 1 / each) ** differ * enough))
+        return math.exp(log)
+
+
 def sketch(keys: np.ndarray, row: np.ndarray, rows: int, each: int, seed: int) -> np.ndarray:
     """One sketch per row: ``each`` 64-bit words, in which every key has flipped one bit."""
     h = mix(keys, 100 + seed)
@@ -157,7 +171,7 @@ def _part_keys(classes: DataFrame, bands: Bands) -> DataFrame:
                         with np.errstate(over="ignore"):
                             name = mix(words + np.arange(each, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93), level * 1000 + seed)
                         # One or two shingles alone are shared by texts that have nothing else in common.
-                        r, c = np.nonzero(np.bitwise_count(words) >= np.where(sizes[own] < SMALL, 1, LEAST_BITS)[:, None])
+                        r, c = np.nonzero(np.bitwise_count(words) >= (1 if level < bands.level(2 * SMALL) else LEAST_BITS))
                         out_k.append(name[r, c])
                         out_i.append(np.asarray(own)[r])
                 k = np.concatenate(out_k).view(np.int64) if out_k else np.zeros(0, np.int64)
@@ -292,7 +306,7 @@ def _verify(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFram
     return pairs.join(left, "a").join(right, "b").mapInArrow(run, "a long, b long, similarity double")
 
 
-def similar_classes(docs: DataFrame, key: str, text: str, similarity: float = 0.8, words: int = 5, parts: int = 128, width: float = 4.7) -> tuple[DataFrame, DataFrame]:
+def similar_classes(docs: DataFrame, key: str, text: str, similarity: float = 0.8, words: int = 5, parts: int = 128, width: float = 2.35) -> tuple[DataFrame, DataFrame]:
     """Members (key, id) of every class of equal sets, and pairs of classes (a, b, similarity) that reach the bound.
 
     ``parts`` is the number of sketch parts in a band and ``width`` the shingles by which a pair at the bound

@@ -133,3 +133,21 @@ def test_copies_take_no_room_and_go_by_id(spark):
         ours, want = [got[q][k] for k in range(1, 11)], np.lexsort((np.arange(len(x)), -np.round(s, 5)))[:10]
         # float32 may round the fifth digit of unlike vectors the other way; copies have to be the same ones.
         assert np.allclose(s[ours], s[want], atol=1.1e-5) and [o for o in ours if o in copies] == [o for o in want if o in copies]
+
+
+def test_worst_size_ratio_right_at_the_bound(spark):
+    # A record that holds another one whole and as many shingles again: similarity is exactly a half.
+    rng, rows = random.Random(3), []
+    for n in (25, 45, 100, 200):
+        for i in range(400):
+            words = [f"x{rng.getrandbits(40)}" for _ in range(2 * n + 2)]
+            rows += [(2 * len(rows), " ".join(words[: n + 2])), (2 * len(rows) + 1, " ".join(words))]
+    pairs = {(a[0], b[0]) for a, b in zip(rows[::2], rows[1::2])}
+    got = parity.similar_pairs(spark.createDataFrame(rows, "k long, t string"), "k", "t", 0.5, 3).collect()
+    assert {(r.key_a, r.key_b) for r in got} == pairs
+
+
+def test_no_size_is_missed_at_the_bound():
+    bands = parity.similar_classes.__defaults__
+    bands = parity.Bands(0.5, bands[2], bands[3])
+    assert max(bands.miss(a, b) for a in (*range(2, 200), *range(200, 4000, 37)) for b in {a, a * 5 // 4, a * 8 // 5, a * 19 // 10, 2 * a}) < 1e-4
