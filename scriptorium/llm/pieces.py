@@ -2,9 +2,11 @@
 
 A text over the limit is cut at the coarsest kind of boundary that leaves nothing over the limit: blank
 lines, else also sentence ends, else all white space, else anywhere. The number of pieces is the least that
-the length allows; targets lie at equal distances, each is snapped to the strongest permitted boundary near
-it, and a piece is added whenever a limit fails. From the second on, a piece starts with an overlap: the end
-of its predecessor, from a word's start, up to ``overlap`` characters and as far as the limit leaves room.
+leaves room for overlaps; targets lie at equal distances, each is snapped to the strongest permitted boundary
+near it, and a piece is added whenever a limit fails. From the second on, a piece starts with an overlap: the
+end of its predecessor, from a word's start (from anywhere within a word that was cut), up to ``overlap``
+characters. Room is kept for a quarter of it at least, or for the predecessor's last word where that is longer;
+only where no boundary leaves so much is it less, or none after a last word longer than ``overlap``.
 
 Results in special cases: null, empty and blank texts and texts within the limit give no piece; repeated rows
 give their pieces once per row here, and the queries keep one. Lengths count characters.
@@ -67,7 +69,7 @@ def cut(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> tuple[str, lis
     if level == 3:  # white space serves nowhere: words over the limit get boundaries of their own
         begin, extra = first, []
         for e, s in [*zip(ends, starts), (last, last)]:
-            n = -(-(e - begin) // limit)
+            n = -(-(e - begin) // limit) if e - begin <= limit else -(-(e - begin) // max(1, limit - overlap))
             extra += [begin + (e - begin) * i // n for i in range(1, n)]
             begin = s
         points = sorted([*zip(ends, starts, strength), *((x, x, 3) for x in extra)])
@@ -75,12 +77,22 @@ def cut(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> tuple[str, lis
         points = [p for p in zip(ends, starts, strength) if p[2] <= level]
     kept = [p[0] for p in points]
 
+    def reach(own: list[tuple[int, int]], begin: int, low: int, most: int) -> int:
+        """Furthest end of the own part at ``begin`` that leaves room for an overlap, if a boundary does."""
+        if not own:
+            return begin + limit
+        before, end = own[-1]
+        word = end - max(before, *(text.rfind(c, before, end) + 1 for c in WHITE))
+        need = max(most, word) if word <= overlap else most if level == 3 else 0
+        far = end + limit - need
+        return far if far > begin and (last <= far or bisect_right(kept, far, low) > low) else begin + limit
+
     def place(count: int) -> list[tuple[int, int]] | None:
-        """Own parts for ``count`` pieces, or None if one is over the limit."""
+        """Own parts for ``count`` pieces, or None if one is over what it may reach."""
         step, begin, low, own = (last - first) / count, first, 0, []
         for i in range(1, count):
             target, slack = first + i * step, step * 0.2
-            high = bisect_right(kept, begin + limit, low)
+            high = bisect_right(kept, reach(own, begin, low, least_room), low)
             if high <= low:
                 return None
             a, b = bisect_left(kept, target - slack, low, high), bisect_right(kept, target + slack, low, high)
@@ -89,18 +101,19 @@ def cut(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> tuple[str, lis
             own.append((begin, points[best][0]))
             begin, low = points[best][1], best + 1
         own.append((begin, last))
-        return own if all(e - s <= limit for s, e in own) else None
-
+        return own if last <= reach(own[:-1], begin, low, least_room) else None
+
+    # Room for an overlap first; when equal parts don't leave it, more pieces are tried, as many as greedy packing
+    # with room for whole overlaps takes, and then that serves.
+    least_room = overlap // 4
+    greedy, begin, low = [], first, 0
+    while last > (far := reach(greedy, begin, low, overlap)):
+        best = bisect_right(kept, far, low) - 1
+        greedy.append((begin, points[best][0]))
+        begin, low = points[best][1], best + 1
+    greedy.append((begin, last))
     least = -(-(last - first) // limit)
-    # Room for the overlaps first; when they don't fit, more pieces are tried, and then greedy packing serves.
-    own = next((x for n in range(least, least + 4) if (x := place(n))), None)
-    if own is None:
-        own, begin, low = [], first, 0
-        while last - begin > limit:
-            best = bisect_right(kept, begin + limit, low) - 1
-            own.append((begin, points[best][0]))
-            begin, low = points[best][1], best + 1
-        own.append((begin, last))
+    own = next((x for n in range(least, len(greedy) + 1) if (x := place(n))), greedy)
     out = []
     for i, (s, e) in enumerate(own):
         o = s
@@ -111,7 +124,7 @@ def cut(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> tuple[str, lis
                 o = lowest
                 if o > before[0] and text[o - 1] not in WHITE:  # not within a word
                     m = SPACE.search(text, o, before[1])
-                    o = m.end() if m else s
+                    o = m.end() if m else s if level < 3 else o
                 while o < before[1] and text[o] in WHITE:
                     o += 1
                 if o >= before[1]:

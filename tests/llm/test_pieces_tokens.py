@@ -92,3 +92,18 @@ def test_column_of_ids(spark, ranks):
     assert got[1].ids == encode("Dobrý den") == got[4].ids and got[2].ids == [] == got[3].ids
     assert tokens.encode_column(spark.createDataFrame([], "doc_id int, text string")).count() == 0
     assert b"".join({v: k for k, v in ranks.items()}[i] for i in got[1].ids).decode() == "Dobrý den"
+
+
+def test_every_piece_starts_with_an_overlap():
+    def overlaps(text, limit=1400, overlap=200):
+        assert check(text, limit, overlap)
+        return [own[i - 1][2] - o for own in [pieces.cut(text, limit, overlap)[1]] for i, (o, _, _) in enumerate(own) if i]
+
+    for text in ("slovo " * 465, "Věta má slova. " * 186, "slovo " * 4190, "x" * 2790, "x" * 25_000, "y" * 25_000 + " slovo" * 900):
+        assert min(overlaps(text)) >= 40
+    rng = random.Random(8)
+    for n in (*range(1401, 9000, 97), 25_150):
+        words = "".join(rng.choice(("a ", "dlouhé ", "konec. ", "neobyčejného ")) for _ in range(n))[:n]
+        assert min(overlaps(words)) > 35
+    # a last word longer than the overlap leaves none
+    assert overlaps(("a " * 590 + "w" * 205 + ". ") * 2 + "b " * 300)[0] <= 0
