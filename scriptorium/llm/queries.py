@@ -48,9 +48,13 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hash and length of every page's text in its consistent form."""
-    pages = table(spark, sf_dir, "pages").select("page_id", "text")
-    return forms.unify(pages).select("page_id", F.sha1("text").alias("sha1"), F.length("text").alias("n_chars")).distinct()
+    """Hash and length of the text of every page and chunk in its consistent form."""
+    out = None
+    for rec, name, key in (("page", "pages", "page_id"), ("chunk", "chunks", "id")):
+        rows = forms.unify(table(spark, sf_dir, name).select(F.col(key).cast("string").alias("rec_key"), "text"))
+        rows = rows.select(F.lit(rec).alias("rec"), "rec_key", F.sha1("text").alias("sha1"), F.length("text").alias("n_chars"))
+        out = rows if out is None else out.unionByName(rows)
+    return out.distinct()
 
 
 # --- 4 most similar vectors

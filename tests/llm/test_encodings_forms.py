@@ -98,3 +98,15 @@ def test_odd_rows_and_unify(spark):
     assert got["b"] == "skryté" and got["c"] is None and got["d"] == "" and got["f"] == "wide " * 50_000 and got["e"] == "опалубка"
     none = df.limit(0)
     assert forms.unify(none).count() == 0 and forms.odd_rows(none).count() == 0
+
+
+def test_unified_covers_pages_and_chunks(spark, tmp_path):
+    import hashlib
+
+    from scriptorium.llm import queries
+
+    spark.createDataFrame([(1, "pl​ain"), (2, None), (1, "pl​ain")], "page_id long, text string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame([("c1", "Ｗide › x\n\nbody", "body"), ("c2", "ok", "ok")], "id string, text string, body string").write.parquet(f"{tmp_path}/chunks.parquet")
+    got = {(r.rec, r.rec_key): (r.sha1, r.n_chars) for r in queries.p3_unified(spark, str(tmp_path)).collect()}
+    want = {("page", "1"): "plain", ("page", "2"): None, ("chunk", "c1"): "Wide › x\n\nbody", ("chunk", "c2"): "ok"}
+    assert got == {k: (t and hashlib.sha1(t.encode()).hexdigest(), t and len(t)) for k, t in want.items()}
