@@ -547,9 +547,9 @@ HTML = """<html><head><title>Kapitola {n}.1</title><style>x</style></head><body
 <a href="text{n}2.html#x">dál</a><a href="mailto:a@b.c">m</a><table><tr><td>a</td><td>b</td></tr></table></body></html>"""
 
 
-def _html_rows(spark, sf_dir) -> DataFrame:
-    """HTML around the text of every crawled page of the Czech full edition."""
-    p = pages_(spark, sf_dir).where("content_type = 'text/html' AND edition_key = 'online-priprava'").select("page_id", "url", "text").distinct()
+def _html_rows(spark, sf_dir, which: str = "edition_key = 'online-priprava'") -> DataFrame:
+    """HTML around the text of every crawled page that ``which`` holds for: of the Czech full edition, if not given."""
+    p = pages_(spark, sf_dir).where(f"content_type = 'text/html' AND {which}").select("page_id", "url", "text").distinct()
     n = F.substring(F.col("page_id").cast("string"), 1, 1)
     parts = HTML.replace("{body}", "\x01").replace("{n}", "\x02")
     made = F.replace(F.replace(F.lit(parts), F.lit("\x02"), n), F.lit("\x01"), X.escape_html("text"))
@@ -572,6 +572,26 @@ def html_pages(spark, sf_dir):
     return made.select("url", "chapter", "section", "title").distinct().join(rows.select("page_id", "url", F.substring(F.col("page_id").cast("string"), 1, 1).cast("int").alias("d")), "url").where("chapter = d").select("page_id", "chapter", "section", "title").distinct()
 
 
+@query("""
+SELECT DISTINCT page_id, 'Kapitola ' || d || '.1' AS title, d || '.1 Nadpis stránky' AS body_title, 1 AS n_headings, regexp_replace(url, '[^/]*$', '') || 'obr/foto' || d || '.jpg' AS image, regexp_replace(url, '[^/]*$', '') || 'text' || d || '2.html' AS link
+FROM (SELECT page_id, url, substr(page_id::VARCHAR, 1, 1) AS d FROM pages WHERE content_type = 'text/html')""")
+def html_fields_all(spark, sf_dir):
+    """html_fields over all editions."""
+    rows = html.parsed(_html_rows(spark, sf_dir, "true"))
+    return rows.select("page_id", "title", "body_title", F.size("headings").alias("n_headings"), F.element_at("images", 1).alias("image"), F.element_at("links", 1).alias("link"))
+
+
+@query("""
+SELECT DISTINCT page_id, d::INT AS chapter, d || '.1' AS section, d || '.1 Nadpis stránky' AS title, edition_key, lang, edition
+FROM (SELECT page_id, edition_key, substr(page_id::VARCHAR, 1, 1) AS d FROM pages WHERE content_type = 'text/html') JOIN editions USING (edition_key)""")
+def html_pages_all(spark, sf_dir):
+    """html_pages over all editions, with what the lookup of the edition gives."""
+    rows = _html_rows(spark, sf_dir, "true")
+    made = html.pages_from_html(rows.drop("page_id").distinct(), table(spark, sf_dir, "editions"))
+    keys = rows.select("page_id", "url", F.substring(F.col("page_id").cast("string"), 1, 1).cast("int").alias("d"))
+    return made.select("url", "chapter", "section", "title", "edition_key", "lang", "edition").distinct().join(keys, "url").where("chapter = d").select("page_id", "chapter", "section", "title", "edition_key", "lang", "edition").distinct()
+
+
 @query("SELECT DISTINCT page_id, len(regexp_extract_all(h, '(?i)(?:href|src)\\s*=\\s*[\"'']?([^\"''\\s>]+)', 1)) AS n FROM (SELECT page_id, '<a href=\"x.html\"><img src=y.gif>' || text AS h FROM pages)")
 def html_link_counts(spark, sf_dir):
     raw = F.concat(F.lit('<a href="x.html"><img src=y.gif>'), F.col("text"))
