@@ -5,7 +5,9 @@ tokens (the last one shorter). A mix is made of output shards; each draws how ma
 source from a multinomial of the target shares, by a generator seeded with mix and shard. The k-th slot of a
 source takes the block that a pseudorandom permutation (a Feistel network, one per mix, source and round
 through the source) puts in place k, and blocks are joined by source and index. A source is gone through
-``max_repeats`` times at most, so no document is taken more often.
+``max_repeats`` times at most, so no document is taken more often: slots that the shards together draw beyond
+that go to the other sources with a share, in proportion to it, as far as those have room. A slot is left out only
+when no source has room, so the mix has the planned number of slots wherever its sources hold as many.
 
 Where a source, repeated as often as it may be, is too small for its share of the wanted size, one of the two
 has to give. With ``keep="size"`` (the default) the source is used up and the others make up for it in
@@ -145,6 +147,19 @@ def plan(docs: DataFrame, targets: DataFrame, size: int = BLOCK, keep: str = "si
     return out
 
 
+def handed_on(of: list[dict], drawn: list[int]) -> list[int]:
+    """Slots that each source of a mix takes over from those that drew more than their cap."""
+    left = sum(max(0, n - r["cap"]) for r, n in zip(of, drawn))
+    room = [max(0, r["cap"] - n) if r["share"] > 0 else 0 for r, n in zip(of, drawn)]
+    out = [0] * len(of)
+    while left and sum(room):
+        part, now = sum(r["share"] for r, m in zip(of, room) if m), left
+        for i, r in enumerate(of):
+            take = min(room[i], left, max(1, int(now * r["share"] / part)))
+            out[i], room[i], left = out[i] + take, room[i] - take, left - take
+    return out
+
+
 def slots(spark, planned: list[dict], per_shard: int = SLOTS, seed: int = SEED) -> DataFrame:
     """mix, shard, slot, source, block, round: which block lies where."""
     mixes = {}
@@ -173,6 +188,37 @@ def slots(spark, planned: list[dict], per_shard: int = SLOTS, seed: int = SEED)
     drawn = cut(shards.mapInArrow(draw, "m int, shard long, s int, n long"))
     placed = running_total(drawn, ["m", "s"], ["m", "s", "shard"], "n", "first")
 
+    # A row per target.
+    drawn_ = {(r.m, r.s): r.n for r in drawn.groupBy("m", "s").agg(F.sum("n").alias("n")).collect()}
+    totals = [[drawn_.get((m, s), 0) for s in range(len(mixes[name]))] for m, name in enumerate(names)]
+    taken = [handed_on(mixes[name], totals[m]) for m, name in enumerate(names)]
+
+    def beyond(batches):
+        for batch in batches:
+            m, shard, s, n, first = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("m", "shard", "s", "n", "first"))
+            cap = np.array([mixes[names[a]][b]["cap"] for a, b in zip(m, s)], np.int64)
+            over = np.minimum(n, np.maximum(0, first + n - cap))
+            yield pa.RecordBatch.from_arrays([pa.array(x[over > 0]) for x in (m, shard, s, over)], names=["m", "shard", "s", "n"])
+
+    def again(batches):
+        for batch in batches:
+            out: list[list] = [[], [], [], [], []]
+            for m, shard, n, at in zip(*(batch.column(c).to_pylist() for c in ("m", "shard", "n", "at"))):
+                begin = 0
+                for s, k in enumerate(taken[m]):
+                    a, b = max(at, begin), min(at + n, begin + k)
+                    if a < b:
+                        for column, x in zip(out, (m, shard, s, b - a, totals[m][s] + a - begin)):
+                            column.append(x)
+                    begin += k
+            types = (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=["m", "shard", "s", "n", "first"])
+
+    placed = placed.select("m", "shard", "s", "n", "first")
+    if any(map(sum, taken)):
+        over = cut(placed.mapInArrow(beyond, "m int, shard long, s int, n long"))
+        placed = placed.unionByName(running_total(over, ["m"], ["m", "s", "shard"], "n", "at").mapInArrow(again, "m int, shard long, s int, n long, first long"))
+
     def lay(batches):
         for batch in batches:
             m, shard, s, n, first = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("m", "shard", "s", "n", "first"))
@@ -190,7 +236,7 @@ def slots(spark, planned: list[dict], per_shard: int = SLOTS, seed: int = SEED)
             block = permuted(k % have, have, key)
             yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in m[row]], pa.string()), pa.array(shard[row]), pa.array([of[i]["source"] for i in row], pa.string()), pa.array(block), pa.array(turn.astype(np.int32))], names=["mix", "shard", "source", "block", "round"])
 
-    rows = placed.select("m", "shard", "s", "n", "first").mapInArrow(lay, "mix string, shard long, source string, block long, round int")
+    rows = placed.mapInArrow(lay, "mix string, shard long, source string, block long, round int")
     # Within a shard the sources lie in a pseudorandom order; a shard has ``per_shard`` rows at most.
     order = Window.partitionBy("mix", "shard").orderBy(F.xxhash64("mix", "shard", "source", "block", "round", F.lit(seed)), "source", "block", "round")
     return rows.withColumn("slot", F.row_number().over(order) - 1).select("mix", "shard", "slot", "source", "block", "round")

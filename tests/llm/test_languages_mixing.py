@@ -119,3 +119,13 @@ def test_running_total_in_ranges(spark, monkeypatch):
     for g in range(3):
         own = sorted((r.at, r.at + r.n) for r in rows if r.g == g)
         assert own[0][0] == 0 and all(a[1] == b[0] for a, b in zip(own, own[1:]))
+
+
+def test_overdrawn_slots_go_to_sources_with_room(spark):
+    for seed in (1, 2, 3):
+        of = [("a", 0.5, 500, 1), ("b", 0.3, 900, 1), ("c", 0.2, 100, 2)]  # a and c are planned at their caps
+        planned = [{"mix": "m", "source": s, "share": share, "blocks": blocks, "cap": blocks * repeats, "slots": 1000} for s, share, blocks, repeats in of]
+        rows = mixing.slots(spark, planned, per_shard=64, seed=seed).collect()
+        assert len(rows) == 1000 == len({(r.source, r.block, r.round) for r in rows}) == len({(r.shard, r.slot) for r in rows})
+        assert all(sum(r.source == p["source"] for r in rows) <= p["cap"] for p in planned)
+    assert mixing.handed_on([{"share": 0.5, "cap": 4}, {"share": 0.5, "cap": 5}], [9, 2]) == [0, 3]
