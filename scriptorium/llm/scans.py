@@ -158,6 +158,7 @@ class Reader:
 
     def __init__(self, vocabulary: dict[str, int], compounds: set[str], lines: Perceptron, editor: Perceptron, joiner: Perceptron):
         self.vocabulary, self.compounds, self.lines, self.editor, self.joiner = vocabulary, compounds, lines, editor, joiner
+        self.firsts = first_parts(compounds)
         self.memo: dict[str, str | None] = {}
 
     def known(self, word: str) -> bool:
@@ -219,7 +220,7 @@ class Reader:
 
     def join(self, left: str, mark: str, right: str, spaced: bool) -> bool:
         """Whether the word at a line's end is broken there, rather than at its own hyphen."""
-        return self.joiner.best(join_features(left, mark, right, spaced, self.vocabulary, self.compounds), ["J", "H"]) == "J"
+        return self.joiner.best(join_features(left, mark, right, spaced, self.vocabulary, self.compounds, self.firsts), ["J", "H"]) == "J"
 
     # pages
 
@@ -330,12 +331,17 @@ def char_features(word: str, i: int, last: str) -> list[str]:
     return [f"c={c}", f"c,l={c},{last}", f"ac={a}{c}", f"cx={c}{x}", f"acx={a}{c}{x}", f"bac={b}{a}{c}", f"cxy={c}{x}{y}", f"bacx={b}{a}{c}{x}", f"acxy={a}{c}{x}{y}", f"bacxy={b}{a}{c}{x}{y}", f"sh={shape_},{c}", f"up={c.isupper()},{i == 0},{c}", f"l={last_}"]
 
 
-def join_features(left: str, mark: str, right: str, spaced: bool, vocabulary: dict[str, int], compounds: set[str]) -> list[str]:
+def first_parts(compounds: set[str]) -> set[str]:
+    """What compounds begin with, up to and with each of their hyphens."""
+    return {c[: i + 1] for c in compounds for i, x in enumerate(c) if x == "-"}
+
+
+def join_features(left: str, mark: str, right: str, spaced: bool, vocabulary: dict[str, int], compounds: set[str], firsts: set[str]) -> list[str]:
     level = lambda n: 0 if n < 1 else 1 if n < 2 else 2 if n < 10 else 3
     last = left.split("-")[-1]
     whole, pair = level(vocabulary.get((last + right).lower(), 0)), (left + "-" + right).lower() in compounds
     a, b = level(vocabulary.get(last.lower(), 0)), level(vocabulary.get(right.lower(), 0))
-    first = any(c.startswith((left + "-").lower()) for c in (compounds if len(compounds) < 5000 else ()))
+    first = (left + "-").lower() in firsts
     return ["bias", f"w={whole}", f"pair={pair}", f"w,pair={whole},{pair}", f"a,b={a},{b}", f"mark={mark},{spaced}", f"w,a,b={whole},{a},{b}", f"first={first},{whole}", f"in={'-' in left}", f"up={right[:1].isupper()}"]
 
 
@@ -477,7 +483,7 @@ def train(pages: DataFrame, sample: int = SAMPLE) -> Reader:
                     editor.update(char_features(got[0], i, last), op)
                     last = op
     editor.average()
-    whole = sorted(compounds)
+    whole, firsts = sorted(compounds), first_parts(compounds)
     for _ in range(6000):
         if rng.random() < 0.3 and whole:
             c = rng.choice(whole).split("-")
@@ -486,12 +492,12 @@ def train(pages: DataFrame, sample: int = SAMPLE) -> Reader:
         else:
             w = rng.choice(rare if rare and rng.random() < 0.4 else words) if words else "word"
             if rare and rng.random() < 0.08:
-                joiner.update(join_features(w, "-", rng.choice(rare), False, vocabulary, compounds), "H", ["J", "H"])
+                joiner.update(join_features(w, "-", rng.choice(rare), False, vocabulary, compounds, firsts), "H", ["J", "H"])
             if len(w) < 5:
                 continue
             at = rng.randint(2, len(w) - 2)
             left, right, truth = w[:at], w[at:], "J"
-        joiner.update(join_features(left, rng.choice("---‐¬") if truth == "J" else "-", right, rng.random() < 0.2, vocabulary, compounds), truth, ["J", "H"])
+        joiner.update(join_features(left, rng.choice("---‐¬") if truth == "J" else "-", right, rng.random() < 0.2, vocabulary, compounds, firsts), truth, ["J", "H"])
     joiner.average()
     return Reader(dict(vocabulary), compounds, tagger, editor, joiner)
 

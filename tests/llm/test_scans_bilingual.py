@@ -94,3 +94,17 @@ def test_alignment(spark):
     got -= copy
     assert len(got & want) / len(want) > 0.93 and len(got & want) / len(got) > 0.93
     assert copy == {(0, a, 9999, b) for p, a, _, b in got if p == 0}
+
+
+@pytest.mark.parametrize("n", [10, 6000])
+def test_first_part_of_a_compound_counts_at_every_size(n):
+    class Joiner:
+        def best(self, features, kinds):
+            self.features = features
+            return kinds[0]
+
+    compounds = {f"w{i}-part-end" for i in range(n)}
+    reader = scans.Reader({}, compounds, None, None, Joiner())
+    for left, first in (("W3", True), ("w3-part", True), ("w", False), ("part", False)):
+        reader.join(left, "-", "other", False)
+        assert f"first={first},0" in reader.joiner.features
