@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 STEM = 6
 SPACE = r"[ \t\r\n\x0b\f]"
 # Function words that tell Czech from English questions.
-CS_WORDS = (
-    "co je jak jake jaké jaky jaký jsou se na pro podle proc proč kdo kdy kde ktery který ktere které stavba stavby staveb staveniste staveniště prace práce "
-    "musi musí lze nebo mezi pri při do od za ze ve v a i u k s z o"
-).split()
-EN_WORDS = "what how which who when where why is are the of and for to in on a an does do".split()
+CS_WORDS = [
+    "co", "je", "jak", "jake", "jaké", "jaky", "jaký", "jsou", "se", "na", "pro", "podle", "proc", "proč", "kdo", "kdy", "kde", "ktery", "který", "ktere", "které", "stavba", "stavby", "staveb",
+    "staveniste", "staveniště", "prace", "práce", "musi", "musí", "lze", "nebo", "mezi", "pri", "při", "do", "od", "za", "ze", "ve", "v", "a", "i", "u", "k", "s", "z", "o",
+]
+EN_WORDS = ["what", "how", "which", "who", "when", "where", "why", "is", "are", "the", "of", "and", "for", "to", "in", "on", "a", "an", "does", "do"]
 CS_LETTERS = "ěščřžýáíéůúďťňĚŠČŘŽÝÁÍÉŮÚĎŤŇ"
 
 
@@ -49,15 +49,19 @@ def stem(x: Column | str) -> Column:
     return F.substring(c(x), 1, STEM)
 
 
+# Fixed value: a word is letters, numbers and underscores; a run of five digits or more alone is none. The pattern
+# looks behind it, so that a long number isn't taken from its second digit on.
+TERM = r"(?<![\p{L}\p{N}_])(?!\p{Nd}{5,}+(?![\p{L}\p{N}_]))[\p{L}\p{N}_]++"
+
+
 def tokenize(x: Column | str) -> Column:
     """Folded words in order, each followed by its prefix if it is longer than the prefix.
 
     Marks that stand alone part words, so folding single letters before the words are taken is the same as
     folding each word, and cheaper: one pass over the text.
     """
-    words = F.regexp_extract_all(F.translate(F.lower(c(x)), FOLD_FROM, FOLD_TO), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
-    kept = F.filter(words, lambda w: ~w.rlike(r"^\p{Nd}{5,}$"))
-    return F.flatten(F.transform(kept, lambda w: F.when(F.length(w) > STEM, F.array(w, stem(w))).otherwise(F.array(w))))
+    words = F.regexp_extract_all(F.translate(F.lower(c(x)), FOLD_FROM, FOLD_TO), F.lit(TERM), F.lit(0))
+    return F.flatten(F.transform(words, lambda w: F.when(F.length(w) > STEM, F.array(w, stem(w))).otherwise(F.array(w))))
 
 
 def guess_lang(x: Column | str) -> Column:
@@ -88,6 +92,7 @@ def rejoin_hyphens(x: Column | str) -> Column:
     return F.regexp_replace(c(x), r"([\p{L}\p{N}_])- (?=[a-záčďéěíňóřšťúůýž])", "$1-")
 
 
+# Fixed value: characters of a broken text layer.
 BROKEN = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x{FFFD}\x{2303}\x{270F}]"
 
 
@@ -97,6 +102,7 @@ def broken_ratio(x: Column | str) -> Column:
     return F.when(n > 0, (n - F.length(F.regexp_replace(c(x), BROKEN, ""))) / n).otherwise(F.lit(0.0))
 
 
+# Fixed value: a numbered heading line.
 HEADING = r"^(\d{1,2}(?:\.\d{1,2}){0,2})[ \t]+([A-ZÁ-Ž][^\n]{2,90})$"
 
 
@@ -113,6 +119,7 @@ def section_number(x: Column | str, anchored: bool = False) -> Column:
     return F.when(found != "", found)
 
 
+# Titles that say nothing, and titles of figures and tables.
 GENERIC = r"(?i)^\s*(kapitola|chapter|část|part|podkapitola|subchapter|untitled|obsah|contents)?\s*[\d.\s-]*\s*$"
 FIGURE = r"(?i)^\s*(obr[aá]zek|obr\.|figure|figere|fig\.|foto|photo|tabulka|table)\b"
 

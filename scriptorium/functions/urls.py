@@ -7,12 +7,19 @@ from pyspark.sql import functions as F
 
 from .text import c
 
+# Names of navigation pages, and of images that are decoration.
 CHROME = r"(?i)^(frame\d+|nadpis\d+\w*|index|mapa_stranek|default|obsah\d+\w*|obrazky\d*|nahledy\d*|foto\d+\w*)\.html?$"
 DECORATIVE = r"(?i)sipka|logo|spacer|blank"
 #: The folder of an edition; which hosts and folders are in scope is a parameter.
 SCOPE = r"^https://ucebnice\.example/podklady/(online-priprava(?:-en)?(?:-demo)?)/"
 
 
+# Fixed value: how raw HTML names what a crawler follows.
+LINK = r"""(?i)(?:href|src)\s*=\s*["']?([^"'\s>]+)"""
+# Beginnings of references that lead to no page.
+NO_PAGE = ("mailto:", "javascript:", "#", "data:")
+
+
 def in_scope(url: Column | str, scope: str = SCOPE) -> Column:
     return c(url).rlike(scope)
 
@@ -26,7 +33,7 @@ def fetchable(url: Column | str) -> Column:
 
 
 def is_link(raw: Column | str) -> Column:
-    return (c(raw) != "") & ~c(raw).rlike(r"^(mailto:|javascript:|#|data:)")
+    return (c(raw) != "") & ~c(raw).rlike("^(" + "|".join(NO_PAGE) + ")")
 
 
 def without_fragment(url: Column | str) -> Column:

@@ -5,14 +5,16 @@ from pyspark.sql import functions as F
 
 from scriptorium.api import Engine, Engines
 from scriptorium.model import CHUNK, PAGE, Query
-from scriptorium.operators import answers, chunking, corpus, index, search
+from scriptorium.operators import answers, chunking, corpus, index, rerankers, search
 from scriptorium.sources import books, html, records
 from scriptorium.streaming import ingest
 
 BASE = "https://ucebnice.example/podklady/online-priprava"
-HTML = """<html><head><title>Kapitola 4.1</title><script>var x;</script></head><body title="4.1 Stupně rozestavěnosti"><h3>Úvod</h3><p>První odstavec má dost textu, aby prošel.&nbsp;Ano.</p>
-<p>Druhý odstavec<br>má dva řádky a také dost textu na to, aby stránka nebyla krátká.</p><img src="..\\sipka_vpred.GIF"><img src="obr1.jpg"><a href="text42.html#x">dál</a><a href="mailto:a@b">m</a>
-<table><tr><td>a</td><td>b</td></tr></table></body></html>"""
+HTML = """<!doctype html><html lang=cs><head><style>p {color: red}</style><title> 7.3  Izolace </title></head>
+<body><noscript>bez skriptů</noscript><div><h2>Proti <b>vlhkosti</b></h2>Svislá izolace se klade na suchou zeď.<br/>Spoje se svaří a&nbsp;přeloží o deset centimetrů.</div>
+<ul><li>penetrace<li>pásy</ul><p>Vodorovná izolace leží pod zdivem a nesmí být nikde přerušena.
+<img alt=x src='foto\\detail.png'><img src=logo2.gif><img><a href=" ../kap8/text81.html?p=1#dole ">střecha</a><a href="JavaScript.html">js</a><a href=javascript:void(0)>x</a><a href="https://jinde.example/">ven</a>
+<table><tr><th>tloušťka</th><td></td><td>5 mm</td></tr></table></body></html>"""
 
 
 def page(url, text, lang="cs", edition="full", chapter=4, section="4.1", title="Název", book=""):
@@ -30,22 +32,53 @@ def corpus_pages(spark):
 
 
 def test_html_to_page(spark):
-    raw = spark.createDataFrame([(f"{BASE}/kap4/text41.html", HTML, "a"), (f"{BASE}/kap4/obsah4.html", HTML, "b"), (f"{BASE}/kap4/x.html", "<frameset></frameset>" + "x" * 500, "c"), (f"{BASE}/kap4/s.html", "<p>short</p>", "d"), (f"{BASE}/n.html", None, "e")], "url string, html string, path string")
-    editions = spark.createDataFrame([("online-priprava", "cs", "full")], "edition_key string, lang string, edition string")
-    got = html.pages_from_html(raw, editions).collect()
-    assert len(got) == 1
-    p = got[0]
-    assert (p.chapter, p.section, p.title, p.lang, p.edition, p.headings) == (4, "4.1", "4.1 Stupně rozestavěnosti", "cs", "full", ["Úvod"])
-    assert p.images == [f"{BASE}/kap4/obr1.jpg"] and p.links == [f"{BASE}/kap4/text42.html"]
-    assert "dva" in p.text and "var x" not in p.text and "a | b" in p.text and "\xa0" not in p.text
+    url = f"{BASE}/kap7/text73.html"
+    raw = [(url, HTML, "a"), (f"{BASE}/kap7/nadpis7.html", HTML, "nav"), (f"{BASE}/kap7/ram.html", HTML + "<frameset cols=2></frameset>", "frames"), (f"{BASE}/kap7/kratka.html", "<b>málo</b>", "short"), (f"{BASE}/x.html", None, "null"), ("https://jinde.example/a.html", HTML, "out")]
+    editions = spark.createDataFrame([("online-priprava", "cs", "full"), ("online-priprava-en", "en", "full")], "edition_key string, lang string, edition string")
+    p = html.pages_from_html(spark.createDataFrame(raw, "url string, html string, path string"), editions).collect()
+    assert [x.path for x in p] == ["a"]
+    p = p[0]
+    assert (p.chapter, p.section, p.title, p.lang, p.edition, p.headings) == (7, "7.3", "7.3 Izolace", "cs", "full", ["Proti vlhkosti"])
+    assert p.images == [f"{BASE}/kap7/foto/detail.png"] and p.links == [f"{BASE}/kap7/JavaScript.html", f"{BASE}/kap8/text81.html?p=1"]
+    assert "zeď.\nSpoje se svaří a přeloží" in p.text and "penetrace\n\npásy" in p.text and "tloušťka | 5 mm |" in p.text
+    assert "color" not in p.text and "bez skriptů" not in p.text
+
+
+def test_collapse_is_a_single_pass():
+    import random
+    import re
+
+    rng = random.Random(6)
+    for _ in range(500):
+        t = "".join(rng.choices("ab |\t\n \xa0", k=40))
+        steps = re.sub(r"\n{3,}", "\n\n", re.sub(r" *\n *", "\n", re.sub(r"[ \t]+", " ", t.replace("\xa0", " "))))
+        assert html.collapse(t) == re.sub(r"(\s*\|\s*){2,}", " | ", steps).strip()
 
 
 def test_decoding():
-    body = '<meta charset="windows-1250">žluť'.encode("cp1250")
-    assert "žluť" in html.decode(body)
-    assert "žluť" in html.decode("žluť".encode("utf-8"), "text/html; charset=utf-8")
-    assert "žluť" in html.decode("charset=nonsense žluť".encode("cp1250"))
-    assert html.decode(None) == ""
+    assert html.decode("<meta charset=ISO-8859-2>šíp".encode("iso8859_2")) == "<meta charset=ISO-8859-2>šíp"
+    assert html.decode("šíp".encode(), "text/plain; Charset=UTF-8") == "šíp"
+    assert html.decode("šíp charset=x-none".encode("cp1250"), "text/html; charset=utf-8") == "šíp charset=x-none"
+    assert html.decode(b" " * 3000 + b"charset=utf-8" + "ž".encode("cp1250"))[-1] == "ž"
+    assert html.decode(b"") == html.decode(None) == ""
+
+
+def test_bodies_by_searching_against_trying_every_end():
+    import random
+
+    rng = random.Random(2)
+    for _ in range(300):
+        text = "\n\n".join("Věta. " * rng.choice((1, 3, 20, 60, 300)) + "x" * rng.choice((0, 5, 190, 700)) for _ in range(rng.randint(1, 12)))
+        parts, first, carry, want = list(chunking.pieces(text, 1400)), 0, "", []
+        while first < len(parts):
+            size = lambda end: len(carry) + sum(len(p) + 2 for p in parts[first:end])  # noqa: B023, E731
+            stop = min((j for j in range(first + 1, len(parts)) if size(j) > 200 and size(j) + len(parts[j]) > 1400), default=len(parts))
+            body = "\n\n".join(filter(None, [carry, *parts[first:stop]])).strip()
+            if len(body) >= 80 and body != carry:
+                want.append(body)
+                carry = body[-200:].partition(" ")[2] if " " in body[-200:] else body[-200:]
+            first = stop
+        assert chunking.bodies(text) == want and all(len(p) <= 1400 or "." not in p[:-1] for p in parts)
 
 
 def test_chunks(spark):
@@ -79,11 +112,63 @@ def test_index_search_and_answers(spark, tmp_path):
     assert not engine.answer(Query("rozestavěnost stavby"), [{"role": "user", "content": "x"}])["cached"]
     assert Engine(spark, str(tmp_path / "none")).info()["status"] == "degraded"
     assert Engines(spark, str(tmp_path)).available() == [""]
+    warmed = Engines(spark, str(tmp_path)).warm(["", "none", ""])
+    assert set(warmed[""]) >= {"index", "embedder"} and warmed["none"].startswith("FileNotFoundError")
+    again = engine.search(Query("rozestavěnost stavby", rerank=True))
+    assert again[0]["rerank_score"] is not None
     q = spark.createDataFrame([("rozestavěnost etapy", "cs", 4, ["4.1"]), ("zzz qqq", "en", 1, None)], "q string, lang string, chapter int, sections array<string>")
     row = engine.evaluate(q)
     assert row["total"] == 2 and row["sec_total"] == 1 and "chapter: hit@1" in corpus.summary(row, 10)[0]
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_top_k_is_cut_before_the_shuffle(spark):
+    scores = spark.createDataFrame([(1, f"d{i}", float(i)) for i in range(9)], "qid int, id string, score double")
+    assert plan_of(search.best(scores, 3)).count("WindowGroupLimit") >= 2
+    lists = scores.withColumn("rank", F.lit(0))
+    assert plan_of(search.fuse(lists, lists, 3)).count("WindowGroupLimit") >= 1
+    assert [r["rank"] for r in search.best(scores, 3).orderBy("rank").collect()] == [0, 1, 2]
+
+
+def test_ties_beyond_any_bound_go_by_id(spark):
+    import random
+
+    ids = [f"v{i:05}" for i in range(3000)]
+    random.Random(1).shuffle(ids)
+    df = spark.createDataFrame([(i, [1.0, 2.0]) for i in ids], "id string, embedding array<double>")
+    q = spark.createDataFrame([(7, [2.0, 4.0])], "qid int, embedding array<double>")
+    assert [r.id for r in search.dense_search(df, q, 5, block=700).orderBy("rank").collect()] == [f"v{i:05}" for i in range(5)]
+
+
+def test_hashed_words_are_one_embedding(spark):
+    texts = ["", "Stavba  STAVBA\nplot", "žluť a"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(index.HashedWords().column("t").alias("v")).collect()
+    for r, v in zip(got, index.HashedWords()(texts)):
+        assert max(abs(a - float(b)) for a, b in zip(r.v, v)) < 1e-6
+
+
+def test_rerankers(spark):
+    hits = spark.createDataFrame([(1, "co je plot", "plot je zeď"), (1, "co je plot", "nic")], "qid int, q string, text string")
+    scores = lambda scorer: [round(r.rerank_score, 3) for r in scorer(hits).collect()]
+    assert scores(rerankers.overlap) == [0.667, 0.0]
+    assert scores(rerankers.pairs(lambda q, t: [len(x) for x in t])) == [11.0, 3.0]
+    assert scores(rerankers.yes_or_no(lambda q, t: [("Yes", -0.1), ("no", -9.0)] if "zeď" in t else [("?", -1.0)]))[1] == 0.5
+    assert rerankers.served("m", ["m:latest"]) and rerankers.served("m:8b", ["m:8b"]) and not rerankers.served("m", ["m:8b"])
+
+    def broken():
+        raise OSError("away")
+
+    some = rerankers.Registry({"a": (broken, None), "b": (lambda: True, rerankers.overlap)})
+    assert some.available() == ["b"] and some.pick(None) is rerankers.overlap and some.pick(False) is None and some.pick(None, "none") is None
+    with pytest.raises(RuntimeError):
+        rerankers.Registry({"a": (broken, None)}).pick(True)
+    with pytest.raises(ValueError):
+        some.pick(None, "zzz")
+
+
 def test_errors_are_in_the_stream():
     def tokens():
         yield "a"
@@ -137,6 +222,10 @@ def test_books(spark):
     outline = spark.createDataFrame([("f", 0, 1, "1 Úvod", 1), ("f", 1, 1, "2 Technologie", 3), ("f", 2, 2, "2.1 Základy", 4)], "file string, pos int, level int, heading string, start int")
     got = {r.n: (r.chapter, r.section) for r in books.by_outline(pages, outline).collect()}
     assert [got[n] for n in (1, 2, 3, 4)] == [(1, None), (1, None), (2, None), (2, "2.1")]
+    assert {r.chapter for r in books.by_outline(pages.withColumn("file", F.lit("d/07_f.pdf")), outline.withColumn("file", F.lit("d/07_f.pdf")).withColumn("level", F.lit(2))).collect()} == {7}
+    assert [tuple(r) for r in books.empty_pages(pages).collect()] == [("f", 6, 1)]
+    titles = spark.createDataFrame([("T", "M", "x/a_b.pdf"), (" ", "M", "x/a_b.pdf"), (None, "", "x/a_b.pdf")], "t string, m string, f string")
+    assert [r[0] for r in titles.select(books.book_title(F.col("t"), F.col("m"), F.col("f"))).collect()] == ["T", "M", "a b"]
     parts = spark.createDataFrame([("x/03_moje-kniha.pdf",), ("kniha.pdf",)], "p string").select(books.file_parts(F.col("p")).alias("x")).collect()
     assert [tuple(r.x) for r in parts] == [(3, "moje kniha"), (None, "kniha")]
     made = books.page_records(books.carry_headings(pages), F.lit("Kniha")).orderBy("url").collect()
@@ -166,8 +255,15 @@ def test_crawl_and_graph(spark):
     def fetch(url, site=site):
         return (200, "text/html", site[url].encode()) if url in site else (404, None, b"")
 
-    got = {r.url.rsplit("/", 1)[1]: (r.status, r.depth) for r in corpus.crawl([f"{BASE}/a.html"], fetch, spark, wait=0).collect()}
+    rows = corpus.crawl([f"{BASE}/a.html"], fetch, spark, wait=0)
+    got = {r.url.rsplit("/", 1)[1]: (r.status, r.depth) for r in rows.collect()}
     assert got == {"a.html": ("fetched", 0), "b.html": ("fetched", 1), "c.html": ("fetched", 2), "p.gif": ("skipped_non_text", 2)}
+    kept = spark.createDataFrame([(f"{BASE}/a.html", bytearray(b"<a href=z.html><a href=b.html>"))], "url string, body binary")
+    order = lambda **more: [(r.url.rsplit("/", 1)[1], r.status) for r in corpus.crawl([f"{BASE}/a.html"], fetch, spark, wait=0, mirror=kept, **more).orderBy("place").collect()]
+    assert order() == [("a.html", "cached"), ("z.html", "http_404"), ("b.html", "fetched"), ("c.html", "fetched"), ("p.gif", "skipped_non_text")]
+    assert order(limit=2) == [("a.html", "cached"), ("z.html", "http_404")]  # as they are seen, not by the alphabet
+    paths = spark.createDataFrame([("https://x.y/a/b/",), ("https://x.y/a/c.html?q#f",), ("https://x.y/",)], "url string").select(corpus.mirror_path(F.col("url")).alias("p"))
+    assert [r.p for r in paths.collect()] == ["a/b/index.html", "a/c.html", "index.html"]
     links = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("x", "y")], "url string, to string")
     assert {(r.url, r.depth) for r in corpus.breadth_first(links, spark.createDataFrame([("a",)], "url string")).collect()} == {("a", 0), ("b", 1), ("c", 2)}
 
