@@ -8,6 +8,9 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
+from collections.abc import Callable
+from dataclasses import dataclass
 from pathlib import Path
 
 import numpy as np
@@ -16,18 +19,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.functions import text as X
+from scriptorium.functions import vectors as V
+from scriptorium.session import spread
 
 
 def token_rows(docs: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
     """key, tokens: the token array of every document, computed once per document."""
-    return docs.select(F.col(key), X.tokenize(text).alias("tokens"))
+    return spread(docs.select(F.col(key), F.col(text))).select(F.col(key), X.tokenize(text).alias("tokens"))
 
 
 def postings(docs: DataFrame, key: str = "id", text: str = "text", only: DataFrame | None = None) -> DataFrame:
     """term, key, tf. ``only`` (term) restricts it to some terms before anything is counted.
 
-    Counts are taken within each document first, by sorting its own tokens, so the shuffle moves one row
-    per document and distinct term.
+    A document lies in one task, whose partial counts are complete: the shuffle moves one row per document
+    and distinct term.
     """
     tokens = token_rows(docs, key, text)
     rows = tokens.select(key, F.explode("tokens").alias("term"))
@@ -49,32 +54,56 @@ def corpus_stats(lengths: DataFrame) -> DataFrame:
     return lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
 
 
+@dataclass
+class Tables:
+    """The lexical index of some documents."""
+
+    postings: DataFrame
+    doc_len: DataFrame
+    term_stats: DataFrame
+    corpus_stats: DataFrame
+
+
+def tables(docs: DataFrame, keep: Callable[[DataFrame], DataFrame], key: str = "id", text: str = "text") -> Tables:
+    """Postings and statistics of ``docs`` (a key once); each is written by ``keep``, so that a text is read once."""
+    tokens = keep(token_rows(docs, key, text).select(key, "tokens"))
+    post = keep(tokens.select(key, F.explode("tokens").alias("term")).groupBy("term", key).agg(F.count("*").alias("tf")))
+    lengths = keep(tokens.select(key, F.size("tokens").cast("long").alias("dl")))
+    return Tables(post, lengths, keep(term_stats(post)), keep(corpus_stats(lengths)))
+
+
 class HashedWords:
-    """Deterministic stand-in for an embedding model: a 64-place bag of words by the last bits of md5."""
+    """Deterministic stand-in for an embedding model: a 64-place bag of words by the last bits of md5, of unit length.
+
+    Words are what ASCII white space parts in the lower-cased text, in both forms.
+    """
 
     name, dim = "hashed:bow64", 64
 
     def column(self, text: Column | str) -> Column:
-        """Token counts by place, in the JVM."""
-        place = F.transform(X.tokenize(text), lambda t: F.conv(F.substring(F.md5(t), 31, 2), 16, 10).cast("int") % self.dim)
-        return F.transform(F.sequence(F.lit(0), F.lit(self.dim - 1)), lambda i: F.size(F.filter(place, lambda p: p == i)).cast("double"))
+        """The vector as a column expression, in the JVM."""
+        words = F.filter(F.split(F.lower(F.col(text) if isinstance(text, str) else text), r"[ \t\r\n\x0b\f]+"), lambda w: w != "")
+        place = F.transform(words, lambda t: F.conv(F.substring(F.md5(t), 31, 2), 16, 10).cast("int") % self.dim)
+        counts = F.transform(F.sequence(F.lit(0), F.lit(self.dim - 1)), lambda i: F.size(F.filter(place, lambda p: p == i)).cast("double"))
+        return V.l2_normalise(counts)
 
     def __call__(self, texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), self.dim), np.float32)
+        out = np.zeros((len(texts), self.dim))
         for i, t in enumerate(texts):
-            for w in t.lower().split():
+            for w in re.findall(r"[^ \t\r\n\x0b\f]+", t.lower()):
                 out[i, int(hashlib.md5(w.encode()).hexdigest()[-2:], 16) % self.dim] += 1
-        return out / (np.linalg.norm(out, axis=1, keepdims=True) + 1e-9)
+        return (out / (np.linalg.norm(out, axis=1, keepdims=True) + V.EPSILON)).astype(np.float32)
 
 
 def embed(docs: DataFrame, embedder, key: str = "id", text: str = "text", batch: int = 16) -> DataFrame:
-    """key, embedding: ``embedder`` is called with ``batch`` texts at a time, once made per task."""
+    """key, embedding: ``embedder`` is called with ``batch`` texts at a time; what it gives is brought to unit length again."""
 
     def run(batches):
         for rows in batches:
             texts, out = rows.column(1).to_pylist(), []
             for at in range(0, len(texts), batch):
-                out += [v.astype(np.float32) for v in embedder([t or "" for t in texts[at : at + batch]])]
+                for v in np.asarray(embedder([t or "" for t in texts[at : at + batch]]), np.float64):
+                    out.append((v / (np.linalg.norm(v) + V.EPSILON)).astype(np.float32))
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(out, pa.list_(pa.float32()))], names=[key, "embedding"])
 
     return docs.select(key, text).mapInArrow(run, f"{key} {docs.schema[key].dataType.simpleString()}, embedding array<float>")

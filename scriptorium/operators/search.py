@@ -6,6 +6,8 @@ ties go by the score rounded to nine digits, then by id.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -15,10 +17,12 @@ from pyspark.sql import types as T
 from scriptorium.functions import text as X
 from scriptorium.functions import vectors as V
 from scriptorium.model import LIMITS, Limits
-from scriptorium.session import spread
+from scriptorium.session import cut, spread
 
-#: Queries of one block of a dense search; a block of vectors is what a task gets by broadcast.
+#: Rows of one block of a dense search; the block's matrix is what a task holds.
 QUERY_BLOCK = 4096
+#: Parts that the postings of one term are split into when they meet the questions, so that a word of every document is no hot key.
+SALT = 16
 
 
 def mask(rows: DataFrame, lang: str | None = None, editions: tuple[str, ...] = ()) -> DataFrame:
@@ -29,65 +33,79 @@ def mask(rows: DataFrame, lang: str | None = None, editions: tuple[str, ...] = (
 
 
 def best(rows: DataFrame, k: int, score: str = "score", key: str = "id", by: tuple[str, ...] = ("qid",)) -> DataFrame:
-    """The k best per question with their rank."""
+    """The k best per question with their rank.
+
+    The filter is on the bare row number, so that every task cuts its own rows to ``k`` before the shuffle.
+    """
     order = Window.partitionBy(*by).orderBy(F.round(score, 9).desc(), key)
-    return rows.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < k)
+    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).withColumn("rank", F.col("rank") - 1)
+
+
+def _blocks(rows: DataFrame, size: int, key: str) -> DataFrame:
+    """keys, width, m: ``rows`` (key, v) of unit length, ``size`` to a row at most; rows of unlike length lie apart."""
+    kind = rows.schema[key].dataType
+
+    def run(batches):
+        for batch in batches:
+            raw = batch.column(1).to_pylist()
+            by: dict[int, list[int]] = {}
+            for i, v in enumerate(raw):
+                by.setdefault(len(v), []).append(i)
+            for width, own in by.items():
+                for at in range(0, len(own), size):
+                    part = own[at : at + size]
+                    x = np.array([raw[i] for i in part], np.float64)
+                    n = np.linalg.norm(x, axis=1, keepdims=True)
+                    good = np.isfinite(n[:, 0]) & (n[:, 0] > 0)
+                    if good.any():
+                        x = x[good] / (n[good] + V.EPSILON)
+                        keys = batch.column(0).take(pa.array(np.asarray(part)[good]))
+                        yield pa.RecordBatch.from_arrays([pa.array([keys.to_pylist()], pa.list_(keys.type)), pa.array([width], pa.int32()), pa.array([x.tobytes()], pa.binary())], names=["keys", "width", "m"])
+
+    return rows.mapInArrow(run, T.StructType([T.StructField("keys", T.ArrayType(kind)), T.StructField("width", T.IntegerType()), T.StructField("m", T.BinaryType())]))
+
+
+def _kept(s: np.ndarray, place: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of the ``k`` best of every row; what is equal to nine digits goes by the smaller ``place``."""
+    if s.shape[1] <= k:
+        return np.nonzero(np.isfinite(s))
+    edge = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
+    row, column = np.nonzero(s >= edge[:, None] - 2e-9)
+    order = np.lexsort((place[column], -np.round(s[row, column], 9), row))
+    row, column = row[order], column[order]
+    nth = np.arange(len(row)) - np.searchsorted(row, row)
+    return row[nth < k], column[nth < k]
 
 
 def dense_search(vectors: DataFrame, queries: DataFrame, k: int, key: str = "id", embedding: str = "embedding", block: int = QUERY_BLOCK) -> DataFrame:
-    """qid, id, score (cosine), rank: exact, by matrix products.
+    """qid, id, score (cosine), rank: exact, by matrix products of blocks.
 
-    ``queries`` (qid, embedding) are read in blocks of ``block``, so what is broadcast has a fixed size
-    whatever their number; each task gives the k best of its rows per query of a block, and a window the k
-    best of all. Null and all-zero vectors take no part.
+    Vectors and ``queries`` (qid, embedding) are packed into matrices of ``block`` rows at most, and every
+    block of queries meets every block of vectors in one plan: nothing passes through the driver, and a task
+    holds two blocks whatever the number of rows. Of each meeting the k best per query remain, ties by id, and
+    a window takes the k best of all. Null and all-zero vectors and null keys take no part, nor do vectors of another length.
     """
-    spark = vectors.sparkSession
-    clean = queries.select("qid", F.col("embedding").cast("array<double>").alias("v")).where("v IS NOT NULL AND size(v) > 0")
+    usable = lambda df, c: df.select(F.col(c), F.col(embedding).cast("array<double>").alias("v")).where(F.col(c).isNotNull()).where("v IS NOT NULL AND size(v) > 0 AND NOT exists(v, x -> x IS NULL)")
     kind = vectors.schema[key].dataType
     schema = T.StructType([queries.schema["qid"], T.StructField("id", kind), T.StructField("score", T.DoubleType())])
-    rows = spread(vectors.select(F.col(key).alias("id"), F.col(embedding).cast("array<double>").alias("v")).where("v IS NOT NULL AND size(v) > 0"))
-    numbered = clean.orderBy("qid").toLocalIterator()  # streamed, a block at a time
-    out = None
-    while True:
-        got = [r for _, r in zip(range(block), numbered)]
-        if not got:
-            break
-        ids = [r.qid for r in got]
-        shared = spark.sparkContext.broadcast((ids, np.array([r.v for r in got], np.float64)))
-
-        def run(batches, shared=shared):
-            qids, q = shared.value
-            q = q / (np.linalg.norm(q, axis=1, keepdims=True) + V.EPSILON)
-            usable = (np.abs(q) > 0).any(1)
-            held = None
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                x = np.array(batch.column(1).to_pylist(), np.float64)
-                size = np.linalg.norm(x, axis=1)
-                x, own = x[size > 0] / (size[size > 0, None] + V.EPSILON), np.flatnonzero(size > 0)
-                keys = np.array(batch.column(0).to_pylist(), dtype=object)[own]
+    # AQE sizes the partitions of the queries: a few make one block and not one per task.
+    asked = cut(_blocks(usable(queries, "qid").hint("rebalance"), block, "qid")).select(F.col("keys").alias("qids"), F.col("width").alias("w"), F.col("m").alias("q"))
+    held = _blocks(spread(usable(vectors, key)), block, key)
+
+    def run(batches):
+        kinds = [T_arrow(f.dataType) for f in schema]
+        for batch in batches:
+            for qids, q, keys, m in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                q, x = np.frombuffer(q).reshape(len(qids), -1), np.frombuffer(m).reshape(len(keys), -1)
+                place = np.empty(len(keys), np.int64)
+                place[sorted(range(len(keys)), key=keys.__getitem__)] = np.arange(len(keys))
                 s = q @ x.T
-                if held is not None:
-                    s = np.concatenate([held[0], s], 1)
-                    keys = np.concatenate([held[1], np.broadcast_to(keys, (len(q), len(keys)))], 1)
-                else:
-                    keys = np.array(np.broadcast_to(keys, (len(q), len(keys))))
-                if s.shape[1] > 4 * k:  # enough beyond k that ties at the edge stay
-                    cut = np.argpartition(-s, 4 * k - 1, axis=1)[:, : 4 * k]
-                    s, keys = np.take_along_axis(s, cut, 1), np.take_along_axis(keys, cut, 1)
-                held = (s, keys)
-            if held is not None:
-                s, keys = held
-                n = s.shape[1]
-                row = np.repeat(np.flatnonzero(usable), n)
-                yield pa.RecordBatch.from_arrays([pa.array([qids[i] for i in row]).cast(T_arrow(schema[0].dataType)), pa.array(keys[usable].ravel().tolist()).cast(T_arrow(kind)), pa.array(s[usable].ravel())], names=["qid", "id", "score"])
-
-        part = rows.mapInArrow(run, schema)
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        out = spark.createDataFrame([], schema)
-    return best(out, k)
+                row, column = _kept(s, place, k)
+                ids = pa.array(keys, kinds[1]).take(pa.array(column))
+                yield pa.RecordBatch.from_arrays([pa.array(qids, kinds[0]).take(pa.array(row)), ids, pa.array(s[row, column])], names=["qid", "id", "score"])
+
+    met = held.crossJoin(asked).where("width = w").select("qids", "q", "keys", "m")
+    return best(met.mapInArrow(run, schema), k)
 
 
 def T_arrow(kind: T.DataType) -> pa.DataType:
@@ -101,18 +119,21 @@ def question_terms(questions: DataFrame, text: str = "q") -> DataFrame:
     return questions.select("qid", F.explode(X.tokenize(text)).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("times"))
 
 
-def bm25_scores(post: DataFrame, lengths: DataFrame, stats: DataFrame, terms: DataFrame, key: str = "id", limits: Limits = LIMITS, df: DataFrame | None = None) -> DataFrame:
+def bm25_scores(post: DataFrame, lengths: DataFrame, stats: DataFrame, terms: DataFrame, key: str = "id", limits: Limits = LIMITS, df: DataFrame | None = None, salt: int = SALT) -> DataFrame:
     """qid, id, score of every document that shares a term with the question.
 
-    idf and mean length are those of the whole corpus, whatever is masked later.
+    idf and mean length are those of the whole corpus, whatever is masked later. ``df`` (term, df) is the
+    index's table of document counts; without it they are counted from the postings.
     """
     counts = df if df is not None else post.groupBy("term").agg(F.count("*").alias("df"))
     n, avgdl = F.col("n").cast("double"), F.col("avgdl")
     weighed = terms.join(counts, "term").crossJoin(F.broadcast(stats))  # one row
     weighed = weighed.select("qid", "term", "avgdl", (F.col("times") * F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))).alias("w"))
+    weighed = weighed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
+    salted = post.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(salt)).cast("int"))
     tf = F.col("tf").cast("double")
     part = F.col("w") * tf / (tf + limits.k1 * (1 - limits.b + limits.b * F.col("dl") / avgdl))
-    return weighed.join(post, "term").join(lengths, key).groupBy("qid", F.col(key).alias("id")).agg(F.sum(part).alias("score"))
+    return weighed.join(salted, ["term", "_salt"]).join(lengths, key).groupBy("qid", F.col(key).alias("id")).agg(F.sum(part).alias("score"))
 
 
 def bm25_search(scores: DataFrame, n_docs: int | None, k: int, allowed: DataFrame | None = None) -> DataFrame:
@@ -132,7 +153,7 @@ def fuse(dense: DataFrame, lexical: DataFrame, pool: int, limits: Limits = LIMIT
     one = both.groupBy("qid", "id").agg(F.max("dense_rank").alias("dense_rank"), F.max("bm25_rank").alias("bm25_rank"))
     one = one.withColumn("score", V.rrf_term("dense_rank", limits.rrf_k) + V.rrf_term("bm25_rank", limits.rrf_k))
     order = Window.partitionBy("qid").orderBy(F.round("score", 9).desc(), F.col("dense_rank").asc_nulls_last(), F.col("bm25_rank").asc_nulls_last(), "id")
-    return one.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < pool)
+    return one.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= pool).withColumn("rank", F.col("rank") - 1)
 
 
 def rerank(hits: DataFrame, fusion: str = "rrf", limits: Limits = LIMITS) -> DataFrame:
@@ -156,18 +177,6 @@ def overlap_score(question: Column | str, body: Column | str) -> Column:
     return F.when(F.size(q) > 0, F.size(F.array_intersect(q, X.tokenize(body))) / F.size(q)).otherwise(F.lit(0.0))
 
 
-def score_pairs(hits: DataFrame, scorer, question: str = "q", body: str = "body") -> DataFrame:
-    """``hits`` with rerank_score by ``scorer`` (questions, bodies) -> scores, in Arrow batches."""
-    schema = T.StructType([*hits.schema.fields, T.StructField("rerank_score", T.DoubleType())])
-
-    def run(batches):
-        for batch in batches:
-            s = scorer(batch.column(question).to_pylist(), batch.column(body).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([None if v is None else float(v) for v in s], pa.float64())], names=[*batch.schema.names, "rerank_score"])
-
-    return hits.mapInArrow(run, schema)
-
-
 def dedupe_neighbours(hits: DataFrame, rank: str = "final_rank", limits: Limits = LIMITS) -> DataFrame:
     """``hits`` (qid, rank, id, page_url, ordinal, body) without those whose text a kept neighbour shares.
 
@@ -183,22 +192,26 @@ def dedupe_neighbours(hits: DataFrame, rank: str = "final_rank", limits: Limits
     return listed.select("qid", F.posexplode(kept).alias("n", "hit")).select("qid", (F.col("n") + 1).alias("n"), "hit.*")
 
 
-def hybrid(questions: DataFrame, chunks: DataFrame, post: DataFrame, lengths: DataFrame, stats: DataFrame, vectors: DataFrame, query_vectors: DataFrame, lang: str | None = None, editions: tuple[str, ...] = (), top_k: int = 10, reranked: bool = False, fusion: str = "rrf", limits: Limits = LIMITS) -> DataFrame:
+def hybrid(
+    questions: DataFrame, chunks: DataFrame, post: DataFrame, lengths: DataFrame, stats: DataFrame, vectors: DataFrame, query_vectors: DataFrame, lang: str | None = None, editions: tuple[str, ...] = (),
+    top_k: int = 10, scorer: Callable[[DataFrame], DataFrame] | None = None, fusion: str = "rrf", limits: Limits = LIMITS, df: DataFrame | None = None, allowed: DataFrame | None = None,
+) -> DataFrame:
     """qid, n, id, ...: dense and lexical candidates, fused, optionally reranked, cut and without neighbours.
 
-    The dense side is masked before its candidates are taken, the lexical one after. The cut to ``top_k``
-    comes before the neighbours go, so fewer may be left.
+    The dense side is masked before its candidates are taken, the lexical one after. ``scorer`` gives the pool
+    (qid, id, q, text, ...) a rerank_score; without it the retrieval order stays. The cut to ``top_k`` comes
+    before the neighbours go, so fewer may be left. ``df`` and ``allowed`` (id) if they are known already.
     """
-    allowed = mask(chunks, lang, editions).select("id").distinct()
     masked = bool(lang or editions)
+    if masked and allowed is None:
+        allowed = mask(chunks, lang, editions).select("id").distinct()
     dense = dense_search(vectors.join(allowed, "id", "left_semi") if masked else vectors, query_vectors, limits.dense_k)
-    scores = bm25_scores(post, lengths, stats, question_terms(questions), limits=limits)
+    scores = bm25_scores(post, lengths, stats, question_terms(questions), limits=limits, df=df)
     lexical = bm25_search(scores, None, limits.bm25_k, allowed if masked else None)
-    pool = fuse(dense, lexical, max(top_k, limits.pool) if reranked else top_k, limits)
+    pool = fuse(dense, lexical, max(top_k, limits.pool) if scorer else top_k, limits)
     full = pool.join(chunks.dropDuplicates(["id"]), "id")
-    if reranked:
-        full = full.join(F.broadcast(questions.select("qid", "q")) if questions.count() <= QUERY_BLOCK else questions.select("qid", "q"), "qid")
-        full = rerank(full.withColumn("rerank_score", overlap_score("q", "body")), fusion, limits)
+    if scorer:
+        full = rerank(scorer(full.join(questions.select("qid", "q"), "qid")), fusion, limits)
     else:
         full = full.withColumn("rerank_score", F.lit(None).cast("double")).withColumn("final_rank", F.col("rank"))
     top = full.where(F.col("final_rank") < top_k)
