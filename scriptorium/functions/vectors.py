@@ -41,3 +41,7 @@ def yes_chance(logprobs: Column | str) -> Column:
     """P(yes) of (token, logprob) structs: sigmoid of the log-sum-exp of 'yes' forms minus that of 'no' forms."""
     of = lambda word: F.transform(F.filter(c(logprobs), lambda t: F.lower(F.trim(t["token"])) == word), lambda t: t["logprob"])
     return sigmoid(log_sum_exp(of("yes")) - log_sum_exp(of("no")))
+
+
+def clamp(x: Column | str, low: int, high: int) -> Column:
+    return F.greatest(F.lit(low), F.least(c(x), F.lit(high)))

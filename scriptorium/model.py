@@ -58,6 +58,9 @@ class Limits:
 
 LIMITS = Limits()
 EDITIONS = ("full", "demo")
+#: Folder of an edition, its language and its kind.
+EDITION_ROWS = [("online-priprava", "cs", "full"), ("online-priprava-en", "en", "full"), ("online-priprava-demo", "cs", "demo"), ("online-priprava-en-demo", "en", "demo")]
+MOST_HITS = 50
 
 
 @dataclass(frozen=True)
@@ -73,8 +76,8 @@ class Query:
     def __post_init__(self) -> None:
         if not 1 <= len(self.question) <= 4000:
             raise ValueError("a question has 1 to 4000 characters")
-        if not 1 <= self.top_k <= 50:
-            raise ValueError("top_k is 1 to 50")
+        if not 1 <= self.top_k <= MOST_HITS:
+            raise ValueError(f"top_k is 1 to {MOST_HITS}")
 
     @property
     def editions(self) -> tuple[str, ...]:

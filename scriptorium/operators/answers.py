@@ -5,9 +5,12 @@ from __future__ import annotations
 import json
 from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from scriptorium.functions import markup
 from scriptorium.model import LIMITS, Limits
 
 RULES = (
@@ -50,6 +53,19 @@ def citations(answers: DataFrame, sources: DataFrame) -> DataFrame:
     return rows.join(sources.select("qid", "n", "url"), ["qid", "n"], "left")
 
 
+def rendered(answers: DataFrame, sources: DataFrame) -> DataFrame:
+    """qid, html: each answer (qid, answer) as HTML, with links to its ``sources`` (qid, n, url, title)."""
+    listed = sources.groupBy("qid").agg(F.collect_list(F.struct("n", "url", "title")).alias("sources"))  # few to an answer
+    rows = answers.select("qid", "answer").join(listed, "qid", "left")
+
+    def run(batches):
+        for batch in batches:
+            made = [markup.html(t, {x["n"]: x for x in own or ()}) if t is not None else None for t, own in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.string())], names=["qid", "html"])
+
+    return rows.mapInArrow(run, T.StructType([answers.schema["qid"], T.StructField("html", T.StringType())]))
+
+
 def last_turns(turns: DataFrame, keep: int = LIMITS.history) -> DataFrame:
     """The last messages of every conversation (conv_id, turn, ...), which WindowGroupLimit cuts before the shuffle."""
     order = Window.partitionBy("conv_id").orderBy(F.desc("turn"))
@@ -71,17 +87,20 @@ def sse(event: str, data: object) -> str:
     return f"event: {event}\ndata: {json.dumps(data, ensure_ascii=False)}\n\n"
 
 
-def stream(meta: dict, sources: list[dict], tokens: Iterable[str]) -> Iterator[str]:
-    """Frames in order: meta, sources, tokens, done; a failure ends them with an error instead."""
+def stream(meta: dict, sources: list[dict], tokens: Iterable[str], timings: dict[str, float] | None = None) -> Iterator[str]:
+    """Frames in order: meta, sources, tokens, done; a failure ends them with an error instead.
+
+    ``timings`` is read when the tokens have ended, so who makes the tokens may fill it.
+    """
     yield sse("meta", meta)
     yield sse("sources", sources)
     try:
         for t in tokens:
-            yield sse("token", t)
+            yield sse("token", {"t": t})
     except Exception as e:  # it is reported in the stream
-        yield sse("error", {"message": str(e)})
+        yield sse("error", {"error": f"{type(e).__name__}: {e}"})
         return
-    yield sse("done", {"cached": bool(meta.get("cached"))})
+    yield sse("done", {"timings": {k: round(v, 2) for k, v in (timings or {}).items()}, "cached": bool(meta.get("cached"))})
 
 
 def read_frames(text: str) -> list[tuple[str, str]]:

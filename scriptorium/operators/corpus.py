@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptorium.functions import urls as U
@@ -26,6 +26,11 @@ def outcomes(log: DataFrame) -> DataFrame:
     return log.groupBy("status").agg(F.count("*").alias("n"))
 
 
+def medians(rows: DataFrame, by: str, value: str) -> DataFrame:
+    """``by``, n, median: exact medians of ``value``, as a benchmark reports its timings."""
+    return rows.groupBy(by).agg(F.count(value).alias("n"), F.median(value).alias("median"))
+
+
 def first_seen(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
     """The first row per key in an order that has no ties but repeated rows.
 
@@ -54,12 +59,14 @@ def breadth_first(links: DataFrame, seeds: DataFrame, most: int = 64) -> DataFra
     return seen
 
 
-def crawl(seeds: list[str], fetch, spark, scope: str = U.SCOPE, limit: int | None = None, attempts: int = 4, wait: float = 1.0) -> DataFrame:
-    """url, status, content_type, body, depth of a scoped breadth-first crawl.
+def crawl(seeds: list[str], fetch, spark, scope: str = U.SCOPE, limit: int | None = None, attempts: int = 4, wait: float = 1.0, mirror: DataFrame | None = None, most: int | None = None) -> DataFrame:
+    """url, status, content_type, body, depth, place of a scoped breadth-first crawl.
 
     ``fetch`` (url) -> (status, content_type, bytes) does the network; a level of the frontier is fetched by
-    all tasks, with retries after ``wait``, twice that and so on. Links are followed where they are in scope
-    and look like text; the seeds are taken as they are. ``limit`` counts every URL that was seen.
+    all tasks, with retries after ``wait``, twice that and so on. What ``mirror`` (url, body) holds is not
+    fetched ("cached"). Links are followed where they are in scope and look like text; the seeds are taken as
+    they are. ``place`` numbers URLs as they are seen: level by level, within one by the place of the page
+    that names them first and their place on it. ``limit`` counts every URL that was seen, in that order.
     """
     import pyarrow as pa
 
@@ -70,10 +77,12 @@ def crawl(seeds: list[str], fetch, spark, scope: str = U.SCOPE, limit: int | Non
         import time
 
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
-            for url in batch.column(0).to_pylist():
+            out: list[list] = [[], [], [], [], [], []]
+            for url, place, kept in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 status, kind, body = "skipped_non_text", None, None
-                if re.search(r"(?i)(\.html?|\.txt|/)$", url):
+                if kept is not None:
+                    status, kind, body = "cached", "text/html", kept
+                elif re.search(r"(?i)(\.html?|\.txt|/)$", url):
                     for turn in range(attempts):
                         try:
                             code, kind, body = fetch(url)
@@ -84,26 +93,51 @@ def crawl(seeds: list[str], fetch, spark, scope: str = U.SCOPE, limit: int | Non
                             status = "error"
                             if turn + 1 < attempts:
                                 time.sleep(wait * 2**turn)
-                found = re.findall(r"""(?i)(?:href|src)\s*=\s*["']?([^"'\s>]+)""", decode(body, kind)) if body else []
-                links = sorted({x for raw in found if (x := normalise(url, raw, scope))})
-                for column, x in zip(out, (url, status, kind, body, links)):
+                found = re.findall(U.LINK, decode(body, kind)) if body else []
+                links = list(dict.fromkeys(x for raw in found if (x := normalise(url, raw, scope))))
+                for column, x in zip(out, (url, place, status, kind, body, links)):
                     column.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.string()), pa.array(out[2], pa.string()), pa.array(out[3], pa.binary()), pa.array(out[4], pa.list_(pa.string()))], names=["url", "status", "content_type", "body", "links"])
-
-    seen = spark.createDataFrame([(s,) for s in dict.fromkeys(seeds)], "url string")
-    seen = cut(seen.limit(limit) if limit else seen)
-    frontier, out, depth, count = seen, None, 0, seen.count()
-    while not frontier.isEmpty():
-        got = cut(frontier.select("url").repartition(8).mapInArrow(run, "url string, status string, content_type string, body binary, links array<string>").withColumn("depth", F.lit(depth)))
+            kinds = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["url", "place", "status", "content_type", "body", "links"])
+
+    schema = "url string, place long, status string, content_type string, body binary, links array<string>"
+    first = list(dict.fromkeys(seeds))[:limit]
+    seen = cut(spark.createDataFrame([(s, i) for i, s in enumerate(first)], "url string, place long"))
+    frontier, out, depth, count = seen, None, 0, len(first)
+    while not frontier.isEmpty() and (most is None or depth < most):
+        own = frontier.join(mirror.select("url", "body"), "url", "left") if mirror is not None else frontier.withColumn("body", F.lit(None).cast("binary"))
+        # Fetching waits on the network: several tasks to a core, by the size of the cluster.
+        tasks = 4 * spark.sparkContext.defaultParallelism
+        got = cut(own.select("url", "place", "body").repartition(tasks).mapInArrow(run, schema).withColumn("depth", F.lit(depth)))
         out = got if out is None else out.unionByName(got)
-        new = got.select(F.explode("links").alias("url")).distinct().join(seen, "url", "left_anti")
-        if limit:
-            new = new.orderBy("url").limit(max(0, limit - count))
-        frontier = cut(new)
+        named = got.select("place", F.posexplode("links").alias("nth", "url")).groupBy("url").agg(F.min(F.struct("place", "nth")).alias("at"))
+        new = _numbered(named.join(seen, "url", "left_anti"), count)
+        frontier = cut(new.where(F.col("place") < limit) if limit else new)
         count += frontier.count()
         seen = cut(seen.unionByName(frontier))
         depth += 1
-    return out.drop("links") if out is not None else spark.createDataFrame([], "url string, status string, content_type string, body binary, depth int")
+    return out.drop("links") if out is not None else spark.createDataFrame([], "url string, place long, status string, content_type string, body binary, depth int")
+
+
+def _numbered(rows: DataFrame, begin: int) -> DataFrame:
+    """url, place: ``rows`` (url, at) in the order of ``at``, numbered from ``begin`` over ranges, not in one task."""
+    ranged = cut(rows.repartitionByRange("at").sortWithinPartitions("at").withColumn("part", F.spark_partition_id()))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    base = ranged.groupBy("part").agg(F.count("*").alias("n")).withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0)))  # a row per range
+    own = F.row_number().over(Window.partitionBy("part").orderBy("at"))
+    return ranged.withColumn("own", own).join(F.broadcast(base), "part").select("url", (F.col("base") + F.col("own") + (begin - 1)).cast("long").alias("place"))
+
+
+def mirror_path(url: Column, folder: str = r"^https?://[^/]*/") -> Column:
+    """Where a mirror keeps a URL: its path below ``folder``, a directory's page as index.html."""
+    path = F.regexp_replace(F.substring_index(F.substring_index(url, "#", 1), "?", 1), folder, "")
+    return F.when(path.endswith("/") | (path == ""), F.concat(path, F.lit("index.html"))).otherwise(path)
+
+
+def write_mirror(crawled: DataFrame, path: str) -> None:
+    """Appends what a crawl fetched to the mirror table (url, path, body), which ``crawl`` reads first the next time."""
+    rows = crawled.where("status = 'fetched'").select("url", mirror_path(F.col("url")).alias("path"), "body")
+    rows.write.mode("append").parquet(path)
 
 
 def hit_rates(ranked: DataFrame, expected: DataFrame, k: int = 10) -> DataFrame:
@@ -128,6 +162,7 @@ def hit_rates(ranked: DataFrame, expected: DataFrame, k: int = 10) -> DataFrame:
 
 def summary(row, k: int) -> list[str]:
     """Lines that report a row of ``hit_rates``."""
+    # The wording of the report.
     share = lambda n, of: f"{n}/{of} ({n / of:.0%})" if of else f"{n}/0"
     lines = [f"chapter: hit@1 = {share(row['chapter_1'], row['total'])}   hit@{k} = {share(row['chapter_k'], row['total'])}"]
     if row["sec_total"]:

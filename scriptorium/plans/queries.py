@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.functions import text as X
 from scriptorium.functions import urls as U
 from scriptorium.functions import vectors as V
-from scriptorium.operators import answers, chunking, corpus, index, search
-from scriptorium.session import cut, table
+from scriptorium.operators import answers, chunking, corpus, index, rerankers, search
+from scriptorium.session import cut, shared_folder, table
 from scriptorium.sources import books, html
 
 QUERIES: dict = {}
@@ -100,7 +102,7 @@ def doc_length(spark, sf_dir):
 @query(f"WITH {terms('doc_id', 'text', 'documents')} SELECT term, count(DISTINCT doc_id) AS df FROM terms GROUP BY term")
 def term_document_freq(spark, sf_dir):
     # one row per document and distinct term, deduplicated within the document before the shuffle
-    rows = table(spark, sf_dir, "documents").select(F.explode(F.array_distinct(X.tokenize("text"))).alias("term"))
+    rows = index.token_rows(table(spark, sf_dir, "documents"), "doc_id").select(F.explode(F.array_distinct("tokens")).alias("term"))
     return rows.groupBy("term").agg(F.count("*").alias("df"))
 
 
@@ -259,6 +261,19 @@ def chunk_breadcrumbs(spark, sf_dir):
     return pages_(spark, sf_dir).select("page_id", chunking.breadcrumb(F.col("book"), F.col("lang"), F.col("chapter"), F.col("title")).alias("crumb")).distinct()
 
 
+@query()
+def chunk_records(spark, sf_dir):
+    made = chunking.chunk_pages(pages_(spark, sf_dir).distinct())
+    return made.select("id", "page_url", "lang", "edition", "chapter", "section", "title", "ordinal", F.sha1("text").alias("text"), F.sha1("body").alias("body"), F.size("images").cast("long").alias("n_images")).distinct()
+
+
+SQL["chunk_records"] = f"""
+WITH {PIECES.strip()}, p AS (SELECT DISTINCT page_id, url, lang, edition, chapter, section, title, book, len(images) AS n_images FROM pages)
+SELECT DISTINCT substr(sha1(url || '#' || ordinal::VARCHAR), 1, 16) AS id, url AS page_url, lang, edition, chapter, section, title, ordinal,
+ sha1(concat_ws(' > ', coalesce(nullif(book, ''), CASE WHEN lang = 'cs' THEN 'Učebnice' ELSE 'Textbook' END), CASE WHEN lang = 'cs' THEN 'Kapitola ' ELSE 'Chapter ' END || chapter::VARCHAR, nullif(title, '')) || chr(10) || chr(10) || body) AS text,
+ sha1(body) AS body, n_images FROM chunk JOIN p USING (page_id)""".strip()
+
+
 # --- search; the clean sentences are the questions, every title of a hundredth page is an evaluation question
 def chunks_(spark, sf_dir, *columns: str) -> DataFrame:
     return table(spark, sf_dir, "chunks").select("id", *columns).distinct()
@@ -268,13 +283,25 @@ def questions_(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "lang_samples").where("lang IN ('cs', 'en')").select(F.col("sample_id").alias("qid"), F.col("text").alias("q"))
 
 
+_BUILT: dict[tuple, index.Tables] = {}
+
+
+def index_(spark, sf_dir) -> index.Tables:
+    """The lexical index of the chunks, built once for a state of the table and a session, as an engine's is."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/chunks.parquet")
+    changed = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).getModificationTime()
+    key = (spark.sparkContext.applicationId, sf_dir, changed)
+    if key not in _BUILT:
+        for old in [k for k in _BUILT if k[:2] == key[:2] or k[0] != key[0]]:
+            del _BUILT[old]
+        _BUILT[key] = index.tables(chunks_(spark, sf_dir, "text"), cut)
+    return _BUILT[key]
+
+
 def lexical_(spark, sf_dir, questions: DataFrame) -> DataFrame:
-    """Scores of all chunks for ``questions``; only their words are counted."""
-    docs = cut(index.token_rows(chunks_(spark, sf_dir, "text")))
-    wanted = cut(search.question_terms(questions))
-    lengths = docs.select("id", F.size("tokens").cast("long").alias("dl"))
-    post = docs.select("id", F.explode("tokens").alias("term")).join(wanted.select("term").distinct(), "term", "left_semi").groupBy("term", "id").agg(F.count("*").alias("tf"))
-    return search.bm25_scores(post, lengths, index.corpus_stats(lengths), wanted)
+    """Scores of all chunks for ``questions``."""
+    t = index_(spark, sf_dir)
+    return search.bm25_scores(t.postings, t.doc_len, t.corpus_stats, search.question_terms(questions), df=t.term_stats)
 
 
 def bm25_sql(questions: str) -> str:
@@ -332,20 +359,20 @@ def l2_normalise(spark, sf_dir):
 
 
 # The dense side of the fusion is the hashed bag of words, in the JVM here and as slots in SQL.
-def hashed_(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """key, slot, w: unit-length hashed bags of words, a row per place."""
-    place = F.conv(F.substring(F.md5("term"), 31, 2), 16, 10).cast("int") % 64
-    n = rows.select(key, F.explode(X.tokenize(text)).alias("term")).groupBy(key, place.alias("slot")).agg(F.count("*").cast("double").alias("n"))
-    size = n.groupBy(key).agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("size"))
-    return n.join(size, key).select(key, "slot", (F.col("n") / F.col("size")).alias("w"))
+def hashed_(post: DataFrame, key: str) -> DataFrame:
+    """key, embedding: unit-length hashed bags of words of postings (term, key, tf)."""
+    slot = F.conv(F.substring(F.md5("term"), 31, 2), 16, 10).cast("int") % 64
+    n = post.groupBy(key, slot.alias("slot")).agg(F.sum("tf").cast("double").alias("n"))
+    lists = n.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("slot", "n"))).alias("m"), F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("size"))  # 64 at most
+    return lists.select(key, F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0.0)) / F.col("size")).alias("embedding"))
+
+
+def asked_(questions: DataFrame) -> DataFrame:
+    return hashed_(search.question_terms(questions).withColumnRenamed("times", "tf"), "qid")
 
 
 def dense_bow_(spark, sf_dir, questions: DataFrame, k: int) -> DataFrame:
-    docs = chunks_(spark, sf_dir, "text")
-    as_array = lambda df, key: df.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("slot", "w"))).alias("m")).select(key, F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0.0))).alias("embedding"))
-    vectors = as_array(hashed_(docs, "id", "text"), "id")
-    wanted = as_array(hashed_(questions, "qid", "q"), "qid")
-    return search.dense_search(vectors, wanted, k)
+    return search.dense_search(hashed_(index_(spark, sf_dir).postings, "id"), asked_(questions), k)
 
 
 BOW = """
@@ -354,9 +381,9 @@ zd AS (SELECT id, sqrt(sum(n * n)) AS z FROM hd GROUP BY id), zq AS (SELECT qid,
 ds AS (SELECT qid, id, sum(hd.n / zd.z / (1 + 1e-9::DOUBLE) * (hq.n / zq.z / (1 + 1e-9::DOUBLE))) AS score FROM hq JOIN zq USING (qid) JOIN hd USING (slot) JOIN zd USING (id) GROUP BY qid, id)"""
 
 
-def fused_sql(pool: int) -> str:
+def fused_sql(pool: int, dense: str = "ds", lexical: str = "s") -> str:
     return f"""
-dn AS ({ranked('ds', 40)}), lx AS ({ranked('s', 40)}),
+dn AS ({ranked(dense, 40)}), lx AS ({ranked(lexical, 40)}),
 fu AS (SELECT coalesce(dn.qid, lx.qid) AS qid, coalesce(dn.id, lx.id) AS id, dn.rank AS dense_rank, lx.rank AS bm25_rank, coalesce(1.0::DOUBLE / (61 + dn.rank), 0) + coalesce(1.0::DOUBLE / (61 + lx.rank), 0) AS score FROM dn FULL JOIN lx ON dn.qid = lx.qid AND dn.id = lx.id),
 po AS (SELECT qid, id, dense_rank, bm25_rank, score, r - 1 AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, dense_rank NULLS LAST, bm25_rank NULLS LAST, id) AS r FROM fu) WHERE r <= {pool})"""
 
@@ -383,6 +410,24 @@ def _reranked(spark, sf_dir, fusion: str) -> DataFrame:
     return search.rerank(full, fusion).select("qid", "id", F.round("rerank_score", 6).alias("rerank_score"), "final_rank")
 
 
+FULL_CS = f"m AS (SELECT DISTINCT id FROM chunks WHERE lang = 'cs' AND edition IN ('full')), dm AS (SELECT ds.* FROM ds JOIN m USING (id)), f AS ({ranked('s', 160)}), g AS (SELECT f.qid, f.id, f.score FROM f JOIN m USING (id) WHERE score > 0)"
+
+
+@query(f"""
+WITH {bm25_sql(SAMPLES).strip()}, {BOW.strip()}, {FULL_CS}, {fused_sql(12, "dm", "g").strip()}, {QOVERLAP.replace("body", "text").strip()},
+fr AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(1.0::DOUBLE / (61 + rerank_rank) + 1.0::DOUBLE / (61 + rank), 9) DESC, rerank_rank) - 1 AS final_rank FROM rr),
+h AS (SELECT fr.qid, fr.final_rank AS rank, c.* FROM fr JOIN (SELECT DISTINCT id, page_url, ordinal, body FROM chunks) c USING (id) WHERE final_rank < 10),
+l AS (SELECT qid, list_reduce(list([{{'rank': rank, 'id': id, 'page_url': page_url, 'ordinal': ordinal, 'body': body}}] ORDER BY rank),
+ lambda a, x: CASE WHEN len(list_filter(a, lambda k: k.page_url = x[1].page_url AND abs(k.ordinal - x[1].ordinal) = 1 AND (contains(x[1].body, right(k.body, 150)) OR contains(k.body, right(x[1].body, 150))))) > 0 THEN a ELSE list_concat(a, x) END) AS kept FROM h GROUP BY qid)
+SELECT qid, generate_subscripts(kept, 1) AS n, unnest(list_transform(kept, lambda k: k.id)) AS id FROM l""")
+def hybrid_topk(spark, sf_dir):
+    """The main search path: both sides masked, fused, reranked, cut and without neighbours."""
+    t, q = index_(spark, sf_dir), questions_(spark, sf_dir)
+    chunks = table(spark, sf_dir, "chunks").drop("images").distinct()
+    hits = search.hybrid(q, chunks, t.postings, t.doc_len, t.corpus_stats, hashed_(t.postings, "id"), asked_(q), "cs", ("full",), 10, rerankers.overlap, df=t.term_stats)
+    return hits.select("qid", "n", "id")
+
+
 PREFIX = f"WITH {bm25_sql(SAMPLES).strip()}, {BOW.strip()}, {fused_sql(12).strip()}, {QOVERLAP.strip()}"
 
 
@@ -489,6 +534,48 @@ def answer_json(spark, sf_dir):
     return q.join(n, "qid", "left").select("qid", F.to_json(doc, {"ignoreNullFields": "false"}).alias("json"))
 
 
+@query("SELECT user_id AS conv_id, event_id AS turn, event_type AS role FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events) WHERE r <= 4")
+def history_last4(spark, sf_dir):
+    turns = table(spark, sf_dir, "events").select(F.col("user_id").alias("conv_id"), F.col("event_id").alias("turn"), F.col("event_type").alias("role"))
+    return answers.last_turns(turns, 4)
+
+
+@query(f"""
+WITH {bm25_sql(SAMPLES).strip()}, {HITS}, l AS (SELECT qid, list({{'n': n, 'title': title, 'chapter': chapter, 'section': section, 'url': page_url, 'lang': lang, 'book': NULL::VARCHAR, 'rerank': NULL::DOUBLE, 'score': round_even(score, 4)}} ORDER BY n) AS sources FROM h GROUP BY qid)
+SELECT qid, to_json({{'question': q, 'answer': 'See [1].', 'backend': 'stub', 'lang': 'cs', 'sources': sources, 'timings': MAP {{'retrieve': 0.12::DOUBLE, 'total': 1.5::DOUBLE}}, 'cached': false}})::VARCHAR AS json FROM qs JOIN l USING (qid)""")
+def answer_documents(spark, sf_dir):
+    """Answers as documents, by the operator that an engine's replies have the form of."""
+    item = F.struct("n", "title", "chapter", "section", "url", "lang", "book", "rerank", "score")
+    sources = answers.source_rows(_hits(spark, sf_dir)).groupBy("qid").agg(F.array_sort(F.collect_list(item)).alias("sources"))
+    rows = questions_(spark, sf_dir).join(sources, "qid").select(
+        "qid", F.col("q").alias("question"), F.lit("See [1].").alias("answer"), F.lit("stub").alias("backend"), F.lit("cs").alias("lang"), "sources",
+        F.create_map(F.lit("retrieve"), F.lit(0.1234), F.lit("total"), F.lit(1.4999)).alias("timings"), F.lit(False).alias("cached"),
+    )
+    return answers.answer_json(rows)
+
+
+@query("SELECT doc_id, greatest(1, least(50, n_chars)) AS k FROM documents WHERE n_chars IS NOT NULL")
+def clamped(spark, sf_dir):
+    return table(spark, sf_dir, "documents").where("n_chars IS NOT NULL").select("doc_id", V.clamp("n_chars", 1, 50).alias("k"))
+
+
+@query("SELECT status, count(n_bytes) AS n, median(n_bytes) AS median FROM crawl_log GROUP BY status")
+def outcome_medians(spark, sf_dir):
+    return corpus.medians(table(spark, sf_dir, "crawl_log"), "status", "n_bytes")
+
+
+@query(f"""
+WITH {bm25_sql("SELECT 0 AS qid, '' AS q").strip()} SELECT (SELECT count(*) FROM c) AS n_chunks, (SELECT count(*) FROM (SELECT DISTINCT term, id FROM terms)) AS n_postings, (SELECT count(DISTINCT term) FROM terms) AS n_terms,
+(SELECT round(avg(dl), 6) FROM dl) AS avgdl, 64 AS dim, (SELECT count(*) FROM c) AS n_vectors""")
+def index_build(spark, sf_dir):
+    """The whole index written as tables below the shared folder, and what reading it again gives."""
+    path = f"{shared_folder(spark)}/index-{hashlib.sha1(sf_dir.encode()).hexdigest()[:12]}"
+    index.build(table(spark, sf_dir, "chunks").distinct(), index.HashedWords(), path)
+    i = index.Index(spark, path)
+    counts = i.postings.agg(F.count("*").alias("n_postings")).crossJoin(i.term_stats.agg(F.count("*").alias("n_terms"))).crossJoin(i.vectors.agg(F.count("*").alias("n_vectors")))  # one row each
+    return i.corpus_stats.crossJoin(counts).select(F.lit(i.meta["n_chunks"]).cast("long").alias("n_chunks"), "n_postings", "n_terms", F.round("avgdl", 6).alias("avgdl"), F.lit(i.meta["dim"]).alias("dim"), "n_vectors")
+
+
 @query("SELECT doc_id AS qid, seq, 'event: ' || event || chr(10) || 'data: ' || data || chr(10) || chr(10) AS frame FROM (SELECT doc_id, unnest([1, 2]) AS seq, unnest(['meta', 'done']) AS event, unnest([source, doc_id::VARCHAR]) AS data FROM documents)")
 def sse_events(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
@@ -518,6 +605,25 @@ def heading_carry_forward(spark, sf_dir):
     return books.carry_headings(book_pages_(spark, sf_dir)).select("page_id", "heading", "chapter", "section")
 
 
+@query(f"WITH {BOOK_PAGES} SELECT file, count(*) AS pages, count(*) FILTER (coalesce(length(text), 0) < 80) AS empty FROM b GROUP BY file")
+def empty_pages(spark, sf_dir):
+    return books.empty_pages(book_pages_(spark, sf_dir))
+
+
+@query(f"""
+WITH {BOOK_PAGES}, k AS (SELECT page_id, file, n, text, list_filter(list_transform(string_split(text, chr(10)), lambda s: regexp_replace(s, '^{W}+|{W}+$', '', 'g')), lambda s: regexp_matches(s, '^(\\d{{1,2}}(?:\\.\\d{{1,2}}){{0,2}})[ \\t]+([A-ZÁ-Ž][^\\n]{{2,90}})$') AND NOT regexp_matches(s, '[.,;]$'))[-1] AS h FROM b WHERE length(text) >= 80),
+m AS (SELECT page_id, file, n, text, CASE WHEN h IS NOT NULL THEN {{'heading': h, 'number': regexp_extract(h, '^(\\d{{1,2}}(?:\\.\\d{{1,2}}){{0,2}})', 1)}} END AS mark FROM k), w AS (SELECT *, last_value(mark IGNORE NULLS) OVER (PARTITION BY file ORDER BY n ROWS UNBOUNDED PRECEDING) AS l FROM m),
+g AS (SELECT file, {GUESS} AS lang FROM (SELECT file, text, {WORDS} AS ws FROM (SELECT file, string_agg(text, chr(10) ORDER BY n) AS text FROM w WHERE n <= 20 GROUP BY file))),
+x AS (SELECT w.*, coalesce(g.lang, 'en') AS lang, regexp_replace(regexp_replace(regexp_extract(regexp_replace(regexp_extract(w.file, '([^/]*)$', 1), '\\.[^.]*$', ''), '^(\\d{{1,2}})?[_\\-\\s]*(.+?)$', 2), '[_\\-]+', ' ', 'g'), '^{W}+|{W}+$', '', 'g') AS book FROM w LEFT JOIN g USING (file))
+SELECT 'file://' || file || '#page=' || n AS url, regexp_extract(file, '([^/]*)$', 1) AS path, lang, string_split(l.number, '.')[1]::INT AS chapter, CASE WHEN contains(l.number, '.') THEN l.number END AS section,
+ coalesce(l.heading, book || ' – p. ' || n) AS title, sha1(text) AS text, book FROM x""")
+def book_records(spark, sf_dir):
+    """Page records of books, by the headings in their texts."""
+    none = F.lit(None).cast("string")
+    made = books.page_records(books.carry_headings(book_pages_(spark, sf_dir)), books.book_title(none, none, F.col("file")))
+    return made.select("url", "path", "lang", "chapter", "section", "title", F.sha1("text").alias("text"), "book")
+
+
 OUTLINE = [(0, 1, "1 Start", 1), (1, 2, "1.1 Base", 2), (2, 1, "2 Middle", 3), (3, 2, "2.1 More", 6), (4, 1, "3 Back", 5), (5, 2, "3.2 End", 9)]
 
 
@@ -547,9 +653,9 @@ HTML = """<html><head><title>Kapitola {n}.1</title><style>x</style></head><body
 <a href="text{n}2.html#x">dál</a><a href="mailto:a@b.c">m</a><table><tr><td>a</td><td>b</td></tr></table></body></html>"""
 
 
-def _html_rows(spark, sf_dir, which: str = "edition_key = 'online-priprava'") -> DataFrame:
-    """HTML around the text of every crawled page that ``which`` holds for: of the Czech full edition, if not given."""
-    p = pages_(spark, sf_dir).where(f"content_type = 'text/html' AND {which}").select("page_id", "url", "text").distinct()
+def _html_rows(spark, sf_dir) -> DataFrame:
+    """HTML around the text of every crawled page."""
+    p = pages_(spark, sf_dir).where("content_type = 'text/html'").select("page_id", "url", "text").distinct()
     n = F.substring(F.col("page_id").cast("string"), 1, 1)
     parts = HTML.replace("{body}", "\x01").replace("{n}", "\x02")
     made = F.replace(F.replace(F.lit(parts), F.lit("\x02"), n), F.lit("\x01"), X.escape_html("text"))
@@ -558,36 +664,27 @@ def _html_rows(spark, sf_dir, which: str = "edition_key = 'online-priprava'") ->
 
 @query("""
 SELECT DISTINCT page_id, 'Kapitola ' || d || '.1' AS title, d || '.1 Nadpis stránky' AS body_title, 1 AS n_headings, regexp_replace(url, '[^/]*$', '') || 'obr/foto' || d || '.jpg' AS image, regexp_replace(url, '[^/]*$', '') || 'text' || d || '2.html' AS link
-FROM (SELECT page_id, url, substr(page_id::VARCHAR, 1, 1) AS d FROM pages WHERE content_type = 'text/html' AND edition_key = 'online-priprava')""")
+FROM (SELECT page_id, url, substr(page_id::VARCHAR, 1, 1) AS d FROM pages WHERE content_type = 'text/html')""")
 def html_fields(spark, sf_dir):
     rows = html.parsed(_html_rows(spark, sf_dir))
     return rows.select("page_id", "title", "body_title", F.size("headings").alias("n_headings"), F.element_at("images", 1).alias("image"), F.element_at("links", 1).alias("link"))
 
 
-@query("SELECT DISTINCT page_id, d::INT AS chapter, d || '.1' AS section, d || '.1 Nadpis stránky' AS title FROM (SELECT page_id, substr(page_id::VARCHAR, 1, 1) AS d FROM pages WHERE content_type = 'text/html' AND edition_key = 'online-priprava')")
-def html_pages(spark, sf_dir):
-    rows = _html_rows(spark, sf_dir)
-    made = html.pages_from_html(rows.drop("page_id").distinct(), table(spark, sf_dir, "editions"))
-    # the record has no key of its own; several fetches of a url give one page each
-    return made.select("url", "chapter", "section", "title").distinct().join(rows.select("page_id", "url", F.substring(F.col("page_id").cast("string"), 1, 1).cast("int").alias("d")), "url").where("chapter = d").select("page_id", "chapter", "section", "title").distinct()
-
-
 @query("""
-SELECT DISTINCT page_id, 'Kapitola ' || d || '.1' AS title, d || '.1 Nadpis stránky' AS body_title, 1 AS n_headings, regexp_replace(url, '[^/]*$', '') || 'obr/foto' || d || '.jpg' AS image, regexp_replace(url, '[^/]*$', '') || 'text' || d || '2.html' AS link
-FROM (SELECT page_id, url, substr(page_id::VARCHAR, 1, 1) AS d FROM pages WHERE content_type = 'text/html')""")
-def html_fields_all(spark, sf_dir):
-    """html_fields over all editions."""
-    rows = html.parsed(_html_rows(spark, sf_dir, "true"))
-    return rows.select("page_id", "title", "body_title", F.size("headings").alias("n_headings"), F.element_at("images", 1).alias("image"), F.element_at("links", 1).alias("link"))
+SELECT DISTINCT page_id, sha1(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '[ \\t]+', ' ', 'g'), ' *\\n *', chr(10), 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), '(\\s*\\|\\s*){2,}', ' | ', 'g'), '\\s+$', '')) AS digest
+FROM (SELECT page_id, 'Kapitola ' || substr(page_id::VARCHAR, 1, 1) || '.1' || chr(10) || chr(10) || 'Úvod' || chr(10) || chr(10) || replace(text, chr(160), ' ') || chr(10) || chr(10) || 'dálm' || chr(10) || chr(10) || 'a | b |' AS t FROM pages WHERE content_type = 'text/html')""")
+def html_clean_text(spark, sf_dir):
+    return html.parsed(_html_rows(spark, sf_dir)).select("page_id", F.sha1("text").alias("digest")).distinct()
 
 
 @query("""
 SELECT DISTINCT page_id, d::INT AS chapter, d || '.1' AS section, d || '.1 Nadpis stránky' AS title, edition_key, lang, edition
 FROM (SELECT page_id, edition_key, substr(page_id::VARCHAR, 1, 1) AS d FROM pages WHERE content_type = 'text/html') JOIN editions USING (edition_key)""")
-def html_pages_all(spark, sf_dir):
-    """html_pages over all editions, with what the lookup of the edition gives."""
-    rows = _html_rows(spark, sf_dir, "true")
+def html_pages(spark, sf_dir):
+    """Page records, with what the lookup of the edition gives."""
+    rows = _html_rows(spark, sf_dir)
     made = html.pages_from_html(rows.drop("page_id").distinct(), table(spark, sf_dir, "editions"))
+    # the record has no key of its own; several fetches of a url give one page each
     keys = rows.select("page_id", "url", F.substring(F.col("page_id").cast("string"), 1, 1).cast("int").alias("d"))
     return made.select("url", "chapter", "section", "title", "edition_key", "lang", "edition").distinct().join(keys, "url").where("chapter = d").select("page_id", "chapter", "section", "title", "edition_key", "lang", "edition").distinct()
 

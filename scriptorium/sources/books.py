@@ -61,17 +61,37 @@ def ocr_misses(pages: DataFrame, cache: DataFrame) -> DataFrame:
     return pages.join(cache, ["file_sha", "dpi", "n"], "left_anti")
 
 
-def by_outline(pages: DataFrame, outline: DataFrame) -> DataFrame:
+def with_ocr_cached(cache_path: str, made: DataFrame) -> None:
+    """Appends recognised pages (file_sha, dpi, n, text) to the cache table that ``ocr_misses`` looks in."""
+    made.select("file_sha", "dpi", "n", "text").write.mode("append").partitionBy("dpi").parquet(cache_path)
+
+
+def empty_pages(pages: DataFrame) -> DataFrame:
+    """file, pages, empty: how many pages of each file have too little text to be records."""
+    return pages.groupBy("file").agg(F.count("*").alias("pages"), F.count_if(F.coalesce(F.length("text"), F.lit(0)) < LIMITS.min_chars).alias("empty"))
+
+
+def book_title(given: Column, meta: Column, path: Column) -> Column:
+    """The name that is given, else the file's own, else one from the file's name."""
+    some = lambda x: F.nullif(X.strip(x), F.lit(""))
+    return F.coalesce(some(given), some(meta), file_parts(path)["title"])
+
+
+def by_outline(pages: DataFrame, outline: DataFrame, file_chapter: Column | None = None) -> DataFrame:
     """``pages`` (file, n) with heading, section and chapter of the last bookmark by outline order that starts at or before them.
 
-    The chapter is the position among the bookmarks of level 1. An outline belongs to one file, so the join
+    The chapter is the position among the bookmarks of level 1; in a file without such a bookmark it is ``file_chapter``
+    (as ``file_parts`` reads it from the name, if not given). An outline belongs to one file, so the join
     is on the file and each page keeps the best of its outline's bookmarks by a partial aggregate.
     """
     order = Window.partitionBy("file").orderBy("pos")
     marks = outline.withColumn("number", F.sum((F.col("level") == 1).cast("int")).over(order)).withColumn("top", F.col("level") == 1)
     joined = pages.select("file", "n").distinct().join(marks, "file").where("start <= n")
     last = joined.groupBy("file", "n").agg(F.max_by("heading", "pos").alias("heading"), F.max(F.when(F.col("top"), F.col("number"))).alias("chapter"))
-    rows = pages.join(last, ["file", "n"], "left")
+    tops = marks.groupBy("file").agg(F.max("top").alias("_tops"))
+    rows = pages.join(last, ["file", "n"], "left").join(tops, "file", "left")
+    named = file_parts(F.col("file"))["chapter"] if file_chapter is None else file_chapter
+    rows = rows.withColumn("chapter", F.when(F.coalesce("_tops", F.lit(False)), F.col("chapter")).otherwise(named)).drop("_tops")
     return rows.withColumn("section", X.section_number("heading", anchored=True))
 
 
@@ -123,10 +143,13 @@ def flip(y0: Column, height: Column) -> Column:
 
 
 def page_records(pages: DataFrame, title: Column, lang: str | None = None) -> DataFrame:
-    """Page records of ``pages`` (file, n, text, heading, chapter, section) below the name ``title``."""
+    """Page records of ``pages`` (file, n, text, heading, chapter, section) below the name ``title``.
+
+    The language is that of the first twenty pages of a file that have any text.
+    """
     sample = pages.where(F.col("n") <= 20).groupBy("file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "text"))), lambda x: x["text"]), "\n").alias("s"))
     langs = sample.select("file", (F.lit(lang) if lang else X.guess_lang("s")).alias("lang"))
-    rows = pages.where(F.length("text") >= LIMITS.min_chars).withColumn("book", title).join(langs, "file")
+    rows = pages.where(F.length("text") >= LIMITS.min_chars).withColumn("book", title).join(langs, "file", "left").withColumn("lang", F.coalesce("lang", F.lit(lang) if lang else X.guess_lang(F.lit(""))))
     none = F.array().cast("array<string>")
     return rows.select(
         F.concat(F.lit("file://"), F.col("file"), F.lit("#page="), F.col("n").cast("string")).alias("url"), F.regexp_extract("file", r"([^/]*)$", 1).alias("path"), F.lit("pdf").alias("edition_key"), "lang",
