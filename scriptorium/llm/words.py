@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import warnings
 from collections import Counter
 
 import pyarrow as pa
@@ -12,6 +13,10 @@ from pyspark.sql import functions as F
 from scriptorium.session import cut, spread
 
 
+#: Distinct words that a task holds before it passes their counts on.
+KEPT = 400_000
+
+
 def count_words(df: DataFrame, columns: list[str], split: str, texts: str | None = None) -> DataFrame:
     """word, n over all values of ``columns``: pieces that the pattern ``split`` finds.
 
@@ -29,7 +34,7 @@ def count_words(df: DataFrame, columns: list[str], split: str, texts: str | None
                     for value in column.slice(at, 500).to_pylist():
                         if value:
                             counts.update(find(value))
-            if len(counts) > 400_000:
+            if len(counts) > KEPT:  # counts so far go on; they are added up later
                 yield pa.RecordBatch.from_arrays([pa.array(list(counts)), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
                 counts.clear()
         yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
@@ -48,18 +53,28 @@ def sampled(rows: DataFrame, order: Column, n: int, total: int) -> DataFrame:
     return rows.withColumn("_hash", order).where(F.col("_hash") <= top).orderBy("_hash").limit(n).drop("_hash")
 
 
-def most_frequent(counts: DataFrame, most: int, n: str = "n") -> list:
-    """The rows with the highest counts, ``most`` at most, without sorting.
+def most_frequent(counts: DataFrame, most: int, n: str = "n", key: str | tuple[str, ...] = "word") -> list:
+    """The ``most`` rows with the highest counts (all, if there are no more), by (count, hash of ``key``), without a sort.
 
-    A histogram of the counts by powers of two says which power leaves few enough rows; those alone are
-    fetched. A sorted limit would have every task send ``most`` rows.
+    A histogram of the counts, exact below 64 and in steps of a 32nd of a power of two above, says at which
+    class the bound is reached. Of that class the share that still fits is taken by the hash of the key, so
+    neither many equal counts nor one large class leaves less than there is room for. Only what is kept is
+    fetched; a sorted limit would have every task send ``most`` rows. A bound that is hit is reported as a warning.
     """
     counts = cut(counts)
-    power = F.floor(F.log2(F.col(n))).cast("int")
-    sizes = {r.p: r.c for r in counts.groupBy(power.alias("p")).agg(F.count("*").alias("c")).collect()}  # 64 rows at most
-    kept, least = 0, 64
+    keys = (key,) if isinstance(key, str) else key
+    step = F.when(F.col(n) < 64, F.col(n).cast("long")).otherwise(F.floor(F.log2(F.col(n).cast("double")) * 32).cast("long") + 64)
+    sizes = {r.p: r.c for r in counts.groupBy(step.alias("p")).agg(F.count("*").alias("c")).collect()}  # some 2,000 rows at most
+    room, share, last = most, 1.0, None
     for p in sorted(sizes, reverse=True):
-        if kept + sizes[p] > most:
+        if sizes[p] > room:
+            last, share = p, (room + 4 * room**0.5 + 16) / sizes[p]  # hashes fall by chance; what is too much is cut off below
             break
-        kept, least = kept + sizes[p], p
-    return counts.where(F.col(n) >= F.lit(2**least if least < 63 else 2**63 - 1)).collect()
+        room -= sizes[p]
+    if last is None:
+        return counts.collect()
+    warnings.warn(f"{sum(sizes.values())} rows of counts, of which the model keeps {most}", stacklevel=2)
+    top = F.lit(max(-(2**63), min(2**63 - 1, int(-(2**63) + share * 2**64))))
+    rows = counts.withColumn("_p", step).withColumn("_h", F.xxhash64(*keys)).where((F.col("_p") > last) | (F.col("_p") == last) & (F.col("_h") < top)).collect()
+    rows.sort(key=lambda r: (-r["_p"], r["_h"]))
+    return rows[:most]

@@ -59,6 +59,36 @@ def test_no_rows(spark):
     assert encodings.garbled_fields(none, fixer).count() == 0 and encodings.restore(none, fixer).count() == 0
 
 
+def test_a_long_word_is_looked_at_in_parts(fixer):
+    import re
+
+    word = ".".join(CLEAN[0].replace(" ", ",") for _ in range(60))
+    assert len(word) > 4000 and fixer.garbled(wrong(word, "utf-8", "cp1252")) and not fixer.garbled(word)
+    for t in ("a" * 199 + "č", "č" * 1000, "x" * 201, word):
+        parts = re.findall(encodings.SPLIT, t)
+        assert "".join(parts) == t and max(map(len, parts)) <= encodings.LONGEST
+    assert re.findall(encodings.SPLIT, "a" * 199 + "č b") == ["a" * 199 + "č", "b"]
+
+
+@pytest.mark.parametrize("most", [1, 99, 100, 350, 400])
+def test_most_frequent_fills_its_bound(spark, most):
+    """Neither equal counts nor one large class leaves less than there is room for."""
+    import warnings
+
+    from scriptorium.llm.words import most_frequent
+
+    same = spark.createDataFrame([(f"w{i}", 2) for i in range(400)], "word string, n long")
+    mixed = spark.createDataFrame([(f"w{i}", 1 + i * i % 5000) for i in range(400)], "word string, n long")
+    with warnings.catch_warnings(record=True) as said:
+        warnings.simplefilter("always")
+        got, other = most_frequent(same, most), most_frequent(mixed, most)
+        assert len(got) == len(other) == most
+        assert bool(said) == (most < 400)
+    least = min(r.n for r in other)
+    assert {1 + i * i % 5000 for i in range(400) if 1 + i * i % 5000 > least * 1.03} <= {r.n for r in other}
+    assert [tuple(r)[:2] for r in got] == [tuple(r)[:2] for r in most_frequent(same, most)]
+
+
 def plain(text):
     """Consistent form by whole-string calls; the brute force."""
     out = []
