@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import re
 import warnings
-from collections import Counter
+from collections import Counter, namedtuple
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -53,7 +54,14 @@ def sampled(rows: DataFrame, order: Column, n: int, total: int) -> DataFrame:
     return rows.withColumn("_hash", order).where(F.col("_hash") <= top).orderBy("_hash").limit(n).drop("_hash")
 
 
-def most_frequent(counts: DataFrame, most: int, n: str = "n", key: str | tuple[str, ...] = "word") -> list:
+def most_frequent(counts: DataFrame, most: int, n: str = "n", key: str | tuple[str, ...] = "word") -> list[NamedTuple]:
+    """Rows of ``most_frequent_table``."""
+    table = most_frequent_table(counts, most, n, key)
+    row = namedtuple("Row", table.column_names)
+    return list(map(row._make, zip(*(c.to_pylist() for c in table.columns))))
+
+
+def most_frequent_table(counts: DataFrame, most: int, n: str = "n", key: str | tuple[str, ...] = "word") -> pa.Table:
     """The ``most`` rows with the highest counts (all, if there are no more), by (count, hash of ``key``), without a sort.
 
     A histogram of the counts, exact below 64 and in steps of a 32nd of a power of two above, says at which
@@ -72,9 +80,8 @@ def most_frequent(counts: DataFrame, most: int, n: str = "n", key: str | tuple[s
             break
         room -= sizes[p]
     if last is None:
-        return counts.collect()
+        return counts.toArrow()
     warnings.warn(f"{sum(sizes.values())} rows of counts, of which the model keeps {most}", stacklevel=2)
     top = F.lit(max(-(2**63), min(2**63 - 1, int(-(2**63) + share * 2**64))))
-    rows = counts.withColumn("_p", step).withColumn("_h", F.xxhash64(*keys)).where((F.col("_p") > last) | (F.col("_p") == last) & (F.col("_h") < top)).collect()
-    rows.sort(key=lambda r: (-r["_p"], r["_h"]))
-    return rows[:most]
+    rows = counts.withColumn("_p", step).withColumn("_h", F.xxhash64(*keys)).where((F.col("_p") > last) | (F.col("_p") == last) & (F.col("_h") < top)).toArrow()
+    return rows.sort_by([("_p", "descending"), ("_h", "ascending")]).slice(0, most).drop_columns(["_p", "_h"])

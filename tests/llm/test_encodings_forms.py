@@ -83,7 +83,7 @@ def test_most_frequent_fills_its_bound(spark, most):
         warnings.simplefilter("always")
         got, other = most_frequent(same, most), most_frequent(mixed, most)
         assert len(got) == len(other) == most
-        assert bool(said) == (most < 400)
+        assert any("rows of counts" in str(w.message) for w in said) == (most < 400)
     least = min(r.n for r in other)
     assert {1 + i * i % 5000 for i in range(400) if 1 + i * i % 5000 > least * 1.03} <= {r.n for r in other}
     assert [tuple(r)[:2] for r in got] == [tuple(r)[:2] for r in most_frequent(same, most)]
