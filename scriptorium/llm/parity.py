@@ -3,7 +3,7 @@
 A text is the set of its runs of three successive words. Texts with equal sets form a class, of which one
 stands for all. For each size band that a class can meet a partner in, its shingles are XOR-ed into several
 bit sketches, cut into 64-bit parts: every shingle flips one bit of one part. (Parts of fewer than LEAST_BITS
-bits, a small share, are not paired on: that they are equal says little.) The Hamming distance of two
+bits, in bands of small pairs of fewer than two, are not paired on: that they are equal says little.) The Hamming distance of two
 sketches is never more than the symmetric difference of the sets, so a sketch of p parts has an equal part
 in both texts whenever the sets differ in fewer than p shingles (the pigeonhole). Bands are made for pair
 sizes (the sum of both sets), since that is what the similarity bound turns into a bound on the difference;
@@ -11,6 +11,12 @@ within a band the number of parts follows the size and enough sketches with seed
 ``parts`` parts in all. Equal parts make candidates; a candidate stays if the Hamming distance of its whole
 first sketches is within the bound of the difference, and the survivors are verified on the sets.
 
+A part that more than ``MEMBERS`` classes share, as boilerplate makes them, doesn't pair: its members would meet all
+with all. They are joined among themselves by an exact way instead, in which two sets of a similarity have a shingle
+in common among the rarest ones of either (``rare_pairs``); a shingle of many texts is none of these unless there is
+nothing rarer, so unlike texts with a common part don't meet. Sets of up to ``TINY`` shingles and their partners meet in this way as well.
+With ``exact=True`` all classes do, and no pair is missed.
+
 Below the pigeonhole's range a pair is met with a probability, from the parts of the bands that both texts are in.
 Pairs of equal sizes share four bands, those of the worst size ratio only two, and the width of a part is chosen
 for these: by the estimate in ``Bands.miss`` fewer than one pair in 10,000 is missed right at the bound of 0.5, of
@@ -27,14 +33,18 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptorium.session import cut, spread
 
 WORD = re.compile(r"[^\W_]+")
-#: Bits that a part must have to pair on; in bands of pairs of fewer shingles than 2 * SMALL any part pairs.
+#: Bits that a part must have to pair on; in bands of pairs of fewer shingles than 2 * SMALL one fewer.
 LEAST_BITS, SMALL = 3, 40
+#: Sets up to this size are joined by their rarest shingles alone: their pairs may have a single shingle in common.
+TINY = 6
+#: Members of a part beyond which it doesn't pair; a task makes at most half as many candidates a row.
+MEMBERS = 128
 MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -103,6 +113,9 @@ class Bands:
         each = max(2, round(2 ** (level / 2) * self.loss / self.width))
         return each, max(1, -(-self.parts // each))
 
+    def bits(self, level: int) -> int:
+        """Bits that a part of a band must have to pair on."""
+        return LEAST_BITS - 1 if level < self.level(2 * SMALL) else LEAST_BITS
 
     def miss(self, a: int, b: int) -> float:
         """Estimated chance that two sets of these sizes right at the bound have no part in common that pairs."""
@@ -111,19 +124,25 @@ class Bands:
         for level in set(self.of(a)) & set(self.of(b)):
             each, count = self.shape(level)
             common = (a + b - differ) / 2 / each
-            least = 1 if level < self.level(2 * SMALL) else LEAST_BITS
+            least = self.bits(level)
             enough = 1 - sum(math.exp(-common) * common**i / math.factorial(i) for i in range(least))
             log += each * count * math.log1p(-min(1 - 1e-12, (1 - 1 / each) ** differ * enough))
         return math.exp(log)
 
 
-def sketch(keys: np.ndarray, row: np.ndarray, rows: int, each: int, seed: int) -> np.ndarray:
-    """One sketch per row: ``each`` 64-bit words, in which every key has flipped one bit."""
+def sketch(keys: np.ndarray, row: np.ndarray, rows: int, each: int, seed: int, sums: bool = False):
+    """One sketch per row: ``each`` 64-bit words, in which every key has flipped one bit; with ``sums`` also the sum of each word's keys."""
     h = mix(keys, 100 + seed)
     part = ((h >> np.uint64(32)) * np.uint64(each)) >> np.uint64(32)
-    at = (row * each + part.astype(np.int64)) * 64 + (h & np.uint64(63)).astype(np.int64)
-    odd = np.bincount(at, minlength=rows * each * 64).astype(np.uint8) & 1
-    return np.packbits(odd).view(np.uint64).reshape(rows, each)
+    at = row * each + part.astype(np.int64)
+    odd = np.bincount(at * 64 + (h & np.uint64(63)).astype(np.int64), minlength=rows * each * 64).astype(np.uint8) & 1
+    words = np.packbits(odd).view(np.uint64).reshape(rows, each)
+    if not sums:
+        return words
+    total = np.zeros(rows * each, np.uint64)
+    with np.errstate(over="ignore"):
+        np.add.at(total, at, h)
+    return words, total.reshape(rows, each)
 
 
 def _sets(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
@@ -148,7 +167,7 @@ def _sets(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
 
 
 def _part_keys(classes: DataFrame, bands: Bands) -> DataFrame:
-    """part (hash of band, sketch, place and bits), class id, size; parts of too few set bits are left out."""
+    """part (hash of band, sketch, place, bits and sum), class id, size; parts of too few set bits are left out."""
 
     def run(batches):
         for batch in batches:
@@ -167,11 +186,12 @@ def _part_keys(classes: DataFrame, bands: Bands) -> DataFrame:
                     row = np.repeat(np.arange(len(own)), sizes[own])
                     each, count = bands.shape(level)
                     for seed in range(count):
-                        words = sketch(keys, row, len(own), each, level * 1000 + seed)
+                        words, total = sketch(keys, row, len(own), each, level * 1000 + seed, sums=True)
+                        # Few bits of 64 are soon equal by chance; equal sums as well are not, unless the keys are.
                         with np.errstate(over="ignore"):
-                            name = mix(words + np.arange(each, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93), level * 1000 + seed)
+                            name = mix((words ^ total) + np.arange(each, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93), level * 1000 + seed)
                         # One or two shingles alone are shared by texts that have nothing else in common.
-                        r, c = np.nonzero(np.bitwise_count(words) >= (1 if level < bands.level(2 * SMALL) else LEAST_BITS))
+                        r, c = np.nonzero(np.bitwise_count(words) >= bands.bits(level))
                         out_k.append(name[r, c])
                         out_i.append(np.asarray(own)[r])
                 k = np.concatenate(out_k).view(np.int64) if out_k else np.zeros(0, np.int64)
@@ -182,11 +202,9 @@ def _part_keys(classes: DataFrame, bands: Bands) -> DataFrame:
 
 
 def _runs(parts: DataFrame, similarity: float) -> DataFrame:
-    """Pairs of classes with an equal part whose sizes allow the similarity; distinct within a task."""
-    # Rows of one part lie together and sorted. A part that very many texts share gives each of its pairs
-    # once per task; the pairs are what a similarity join has to give, apart from exact copies, which the
-    # classes have taken away.
-    rows = parts.repartition("part").sortWithinPartitions("part", "id")
+    """a, b: pairs of classes with an equal part whose sizes allow the similarity, distinct within a task; or a member of a part of too many and null."""
+    # Rows of one part lie together; one sort key keeps the sort a radix sort.
+    rows = parts.repartition("part").sortWithinPartitions("part")
 
     def pairs(part: np.ndarray, ids: np.ndarray, sizes: np.ndarray):
         n = len(part)
@@ -196,13 +214,14 @@ def _runs(parts: DataFrame, similarity: float) -> DataFrame:
             open_ = open_[open_ + step < n]
             open_ = open_[part[open_] == part[open_ + step]]
             other = open_ + step
-            ok = (np.minimum(sizes[open_], sizes[other]) >= similarity * np.maximum(sizes[open_], sizes[other])) & (ids[open_] != ids[other])
+            ok = (np.minimum(sizes[open_], sizes[other]) >= similarity * np.maximum(sizes[open_], sizes[other]) - 1e-9) & (ids[open_] != ids[other])
             if ok.any():
                 yield ids[open_[ok]], ids[other[ok]]
             step += 1
 
     def run(batches):
         held = None
+        crowd = None  # part of too many members whose rows are passed on as they come
         seen: list[tuple[np.ndarray, np.ndarray]] = []
         waiting = 0
 
@@ -216,32 +235,67 @@ def _runs(parts: DataFrame, similarity: float) -> DataFrame:
             seen.clear()
             return pa.RecordBatch.from_arrays([pa.array(lo[keep]), pa.array(hi[keep])], names=["a", "b"])
 
+        def members(ids: np.ndarray):
+            own = np.unique(ids)
+            return pa.RecordBatch.from_arrays([pa.array(own), pa.nulls(len(own), pa.int64())], names=["a", "b"])
+
         for batch in batches:
             columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
             if held is not None:
                 columns = [np.concatenate(x) for x in zip(held, columns)]
             part = columns[0]
-            first = int(np.searchsorted(part, part[-1])) if len(part) else 0  # the last run may go on
-            held = [c[first:].copy() for c in columns]
-            for a, b in pairs(*(c[:first] for c in columns)):
+            if not len(part):
+                continue
+            start = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+            size = np.diff(np.append(start, len(part)))
+            last = int(start[-1])  # the last run may go on
+            many = np.repeat((size > MEMBERS) | (part[start] == crowd if crowd is not None else False), size)
+            if many.any():
+                yield members(columns[1][many])
+            crowd = part[-1] if many[-1] else None
+            done = ~many
+            done[last:] = False
+            held = [c[last:].copy() for c in columns] if not many[-1] else [c[:0] for c in columns]
+            for a, b in pairs(*(c[done] for c in columns)):
                 seen.append((a, b))
                 waiting += len(a)
                 if waiting > 1_000_000:
                     yield flush()
                     waiting = 0
-        if held is not None:
-            for a, b in pairs(*held):
+        if held is not None and len(held[0]):
+            for a, b in pairs(*held):  # MEMBERS rows at most
                 seen.append((a, b))
-                waiting += len(a)
-                if waiting > 1_000_000:
-                    yield flush()
-                    waiting = 0
         if seen:
             yield flush()
 
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
+def rare_pairs(classes: DataFrame, similarity: float) -> DataFrame:
+    """a, b: every pair of ``classes`` (id, size, hashes) that can reach the similarity, found by rare shingles.
+
+    Of a set of n shingles, ordered from rare to frequent, all but the last ``ceil(similarity * n) - 1`` are its
+    rarest; two sets that reach the similarity have one of these in common. Exact, whatever the sets.
+    """
+
+    def explode(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                raw = part.column(2).to_pylist()
+                keys = np.frombuffer(b"".join(raw), np.int64)
+                row = np.repeat(np.arange(len(raw)), [len(r) // 8 for r in raw])
+                yield pa.RecordBatch.from_arrays([pa.array(keys), part.column(0).take(pa.array(row)), part.column(1).take(pa.array(row))], names=["shingle", "id", "size"])
+
+    rows = classes.select("id", "size", "hashes").mapInArrow(explode, "shingle long, id long, size int")
+    count = rows.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")  # one alone joins nothing, and is the rarest
+    order = Window.partitionBy("id").orderBy(F.coalesce("df", F.lit(1)), "shingle")
+    ranked = rows.join(count, "shingle", "left").withColumn("at", F.row_number().over(order))
+    rare = cut(ranked.where(F.col("at") <= F.col("size") - F.ceil(F.col("size") * similarity - 1e-9) + 1).where("df IS NOT NULL").select("shingle", "id", "size"))
+    x, y = rare.select("shingle", F.col("id").alias("a"), F.col("size").alias("m")), rare.select("shingle", F.col("id").alias("b"), F.col("size").alias("n"))
+    return x.join(y, "shingle").where((F.col("a") < F.col("b")) & (F.least("m", "n") >= similarity * F.greatest("m", "n") - 1e-9)).select("a", "b").distinct()
+
+
 def _hamming(pairs: DataFrame, classes: DataFrame, bands: Bands) -> DataFrame:
     """Pairs whose whole sketches differ in no more bits than the bound of the symmetric difference."""
 
@@ -280,7 +334,7 @@ def _hamming(pairs: DataFrame, classes: DataFrame, bands: Bands) -> DataFrame:
                         f ^= v & m
                         v >>= w
                     v = f
-                keep[i] = (v ^ int.from_bytes(y, "big")).bit_count() <= bands.loss * pair[i]
+                keep[i] = (v ^ int.from_bytes(y, "big")).bit_count() <= bands.loss * pair[i] + 1e-9
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
     return pairs.join(left, "a").join(right, "b").mapInArrow(run, "a long, b long")
@@ -301,23 +355,34 @@ def _verify(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFram
                 total.append(len(u) + len(v) - common)
             j = np.array(same, float) / np.maximum(1, total)
             out = pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(j)], names=["a", "b", "similarity"])
-            yield out.filter(pa.array(j >= similarity))
+            yield out.filter(pa.array(j >= similarity - 1e-12))
 
     return pairs.join(left, "a").join(right, "b").mapInArrow(run, "a long, b long, similarity double")
 
 
-def similar_classes(docs: DataFrame, key: str, text: str, similarity: float = 0.8, words: int = 5, parts: int = 128, width: float = 2.35) -> tuple[DataFrame, DataFrame]:
+def similar_classes(docs: DataFrame, key: str, text: str, similarity: float = 0.8, words: int = 5, parts: int = 128, width: float = 2.35, exact: bool = False) -> tuple[DataFrame, DataFrame]:
     """Members (key, id) of every class of equal sets, and pairs of classes (a, b, similarity) that reach the bound.
 
     ``parts`` is the number of sketch parts in a band and ``width`` the shingles by which a pair at the bound
-    differs in a part on average; more parts find more of the pairs near the bound.
+    differs in a part on average; more parts find more of the pairs near the bound. ``exact`` takes every
+    candidate from ``rare_pairs``: slower where shingles are frequent, and nothing is missed.
     """
     sets = cut(_sets(docs, key, text, words))
     # The class id is its digest: two texts of equal sets have it in common wherever they lie.
     members = sets.select("key", F.col("digest").alias("id")).distinct()
     classes = cut(sets.select(F.col("digest").alias("id"), "size", "hashes").dropDuplicates(["id"]))
     bands = Bands(similarity, parts, width)
-    candidates = _runs(_part_keys(classes, bands), similarity)
+    if exact:
+        candidates = rare_pairs(classes, similarity)
+    else:
+        met = cut(_runs(_part_keys(classes.where(f"size > {TINY}"), bands), similarity))
+        crowded = met.where("b IS NULL").select(F.col("a").alias("id"))
+        # A set of TINY shingles has partners of up to TINY / similarity.
+        tiny = classes.where(F.col("size") <= math.ceil(TINY / similarity)).select("id") if not classes.where(f"size <= {TINY}").isEmpty() else None
+        some = crowded if tiny is None else crowded.unionByName(tiny)
+        candidates = met.where("b IS NOT NULL")
+        if not some.isEmpty():
+            candidates = candidates.unionByName(rare_pairs(classes.join(some.distinct(), "id", "left_semi"), similarity)).distinct()
     near = cut(_hamming(candidates, classes, bands))
     return members, _verify(near, classes, similarity)
 

@@ -43,6 +43,48 @@ def test_pairs_against_brute_force(spark):
     assert not got - want and len(want - got) <= 0.01 * len(want) and (904, 905) in got
 
 
+def test_exact_way_against_brute_force(spark):
+    rng = random.Random(7)
+    rows = texts() + [(2000 + i, " ".join(rng.choices("abcd", k=rng.randint(3, 9)))) for i in range(60)]
+    df = spark.createDataFrame(rows, "k long, t string")
+    for similarity in (0.5, 0.8):
+        got = {(r.key_a, r.key_b) for r in parity.similar_pairs(df, "k", "t", similarity, 3, exact=True).distinct().collect()}
+        assert got == jaccard_pairs(rows, similarity)
+
+
+def boilerplate(n, own=9):
+    return [(i, "all rights reserved " + " ".join(f"u{i}x{j}" for j in range(own))) for i in range(n)]
+
+
+def test_boilerplate_makes_no_candidates(spark, monkeypatch):
+    """Short texts that share one shingle: candidates must not grow with the square of their number."""
+    counts = []
+    verify = parity._hamming
+    monkeypatch.setattr(parity, "_hamming", lambda pairs, *a: (counts.append(pairs.count()), verify(pairs, *a))[1])
+    for n in (500, 1000, 2000, 4000):
+        df = spark.createDataFrame(boilerplate(n), "k long, t string")
+        assert parity.similar_pairs(df, "k", "t", 0.5, 3).count() == 0
+    assert max(counts) < 100, counts
+
+
+def test_crowded_parts_lose_no_pair(spark, monkeypatch):
+    """Parts with many members are joined by the exact way."""
+    monkeypatch.setattr(parity, "MEMBERS", 6)
+    rng = random.Random(5)
+    common = " ".join(f"c{i}" for i in range(60))
+    rows = [(i, common + " " + " ".join(rng.choices(WORDS, k=rng.choice((5, 30, 80))))) for i in range(120)]
+    df = spark.createDataFrame(rows, "k long, t string")
+    got = {(r.key_a, r.key_b) for r in parity.similar_pairs(df, "k", "t", 0.5, 3).distinct().collect()}
+    want = jaccard_pairs(rows, 0.5)
+    assert len(want) > 500 and not got - want and len(want - got) <= 1e-3 * len(want)
+
+
+def test_tiny_sets(spark):
+    rows = [(1, "a b c"), (2, "a b c d"), (3, "b c d"), (4, "x a b c"), (5, "a b c d e"), (6, "b c d e f"), (7, "A B C")]
+    got = {(r.key_a, r.key_b) for r in parity.similar_pairs(spark.createDataFrame(rows, "k long, t string"), "k", "t", 0.5, 3).distinct().collect()}
+    assert got == jaccard_pairs(rows, 0.5)
+
+
 def test_groups_are_components(spark):
     rows = [r for r in texts() if len(r[1]) > 200][:60]
     df = spark.createDataFrame([*rows, (999, None), (998, "x y z")], "k long, t string")
@@ -150,4 +192,4 @@ def test_worst_size_ratio_right_at_the_bound(spark):
 def test_no_size_is_missed_at_the_bound():
     bands = parity.similar_classes.__defaults__
     bands = parity.Bands(0.5, bands[2], bands[3])
-    assert max(bands.miss(a, b) for a in (*range(2, 200), *range(200, 4000, 37)) for b in {a, a * 5 // 4, a * 8 // 5, a * 19 // 10, 2 * a}) < 1e-4
+    assert max(bands.miss(a, b) for a in (*range(parity.TINY + 1, 200), *range(200, 4000, 37)) for b in {a, a * 5 // 4, a * 8 // 5, a * 19 // 10, 2 * a}) < 1e-4
