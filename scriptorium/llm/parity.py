@@ -44,7 +44,7 @@ LEAST_BITS, SMALL = 3, 40
 #: Sets up to this size are joined by their rarest shingles alone: their pairs may have a single shingle in common.
 TINY = 6
 #: Members of a part beyond which it doesn't pair; a task makes at most half as many candidates a row.
-MEMBERS = 128
+MEMBERS = 1000
 MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
