@@ -21,6 +21,7 @@ rows (equal id) count once; equal texts under several ids are aligned once and g
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata
 
@@ -31,6 +32,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.session import cut, spread
 
+from . import forms
 from .words import most_frequent_table
 
 TOKEN = re.compile(r"[A-Z]{2}-\d+|\d+(?:[.,]\d+)?|[^\W\d_]+")
@@ -55,6 +57,7 @@ def sentences(text: str) -> list[str]:
     return out
 
 
+@functools.lru_cache(200_000)
 def stem(word: str) -> str:
     w = "".join(c for c in unicodedata.normalize("NFD", word.lower()) if not unicodedata.combining(c))
     return w if len(w) < 5 else w[:4] if len(w) == 5 else w[:5]
@@ -232,34 +235,39 @@ def align(a: Side, b: Side, tables: Tables, match: float, grow: float | None) ->
     return tuple(np.concatenate(c) for c in zip(*found))
 
 
+def consistent(rows: list[str]) -> list[str]:
+    """``rows`` in one form of characters, looked through together; few need a change."""
+    out, odd = list(rows), [i for i, s in enumerate(rows) if not s.isascii()]
+    raw = [rows[i].encode("utf-8", "replace") for i in odd]
+    points, row, found = forms.block(b"".join(raw), np.array([len(r) for r in raw], np.int64))
+    for k in np.flatnonzero(found):
+        a, b = np.searchsorted(row, [k, k + 1])
+        out[odd[k]] = forms.rewrite(points[a:b], row[a:b])[0].tobytes().decode("utf-32-le", "surrogatepass")
+    return out
+
+
 def bags(pages: DataFrame, fixer=None, left: str = "cs", right: str = "en") -> tuple[DataFrame, DataFrame]:
     """Texts as word ids (text_id, volume, section, lang, words, sizes of sentences) and members (text_id, page_id).
 
     ``fixer`` restores garbled words first.
     """
-    from . import forms
-
     own = pages.where("content_type = 'text/html' AND edition = 'full' AND section IS NOT NULL AND coalesce(book, '') = ''").where(F.col("lang").isin(left, right) & F.col("text").rlike("\\S"))
     own = own.withColumn("volume", F.regexp_extract("url", "/(v[0-9]+)/", 1)).where("volume <> ''")
     own = own.select("page_id", "volume", "section", "lang", "text", F.sha1(F.concat_ws("\u0001", "volume", "section", "lang", "text")).alias("text_id"))
     shared = pages.sparkSession.sparkContext.broadcast(fixer)
 
-    def clean(s: str) -> str:
-        if s.isascii():
-            return s
-        raw = s.encode("utf-8", "replace")
-        points, row, odd = forms.block(raw, np.array([len(raw)]))
-        return forms.rewrite(points, row)[0].tobytes().decode("utf-32-le", "surrogatepass") if odd[0] else s
-
     def run(batches):
         fix = shared.value
         ids: dict[str, int] = {}
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
-                words, sizes = [], []
-                for text in part.column(4).to_pylist():
-                    rows = [tokens(clean(fix.restored(s) if fix is not None and not s.isascii() else s)) for s in sentences(text)]
+                own = [sentences(t) for t in part.column(4).to_pylist()]
+                flat = consistent([fix.restored(s) if fix is not None and not s.isascii() else s for o in own for s in o])
+                words, sizes, n = [], [], 0
+                for o in own:
+                    rows = [tokens(s) for s in flat[n : n + len(o)]]
+                    n += len(o)
                     for t in {t for r in rows for t in r} - ids.keys():
                         ids[t] = word_id(t)
                     words.append(np.array([ids[t] for r in rows for t in r], np.int64).tobytes())
