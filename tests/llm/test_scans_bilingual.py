@@ -1,3 +1,4 @@
+import os
 import random
 
 import pytest
@@ -49,6 +50,25 @@ def test_editor_on_held_out_words(reader):
     assert hit / len(made) > 0.8 and not any(reader.fix(w) for w in words)
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+def test_every_operation_on_fresh_misreadings(spark):
+    """Fitted on the pages, tried on misreadings of its own words that it hasn't seen, per operation."""
+    reader = scans.train(spark.read.parquet("/root/testdata/sf0.01/pages.parquet"))
+    rng = random.Random(6)
+    words = [w for w in sorted(reader.vocabulary) if len(w) > 4 and reader.vocabulary[w] > 3]
+    got = scans.held_out(reader, rng.sample(words, 400), rng, 3)
+    assert {"R", "T", "S"} <= set(got) and got["K"] == (400, 400), got
+    assert all(hit / n > 0.8 for k, (hit, n) in got.items()), got
+    assert not any(reader.fix(w) for w in ("B25", "12m", "xiv", "M16", "45kN", "SPAN"))
+
+
+def test_one_long_line_loses_no_page(reader):
+    text = "ŠIROKÝ KROV\n\n" + "\n".join(["Střecha podpírá krov během zimy do dvanácti dnů.", "Kotva zakrývá 0mítka po celé"] * 8) + "\n" + "odstavec bez zalomení " * 6 + "\n— 13 —"
+    got = reader.noisy(text, "Široký krov", "")
+    assert (0, "header") in got and (3, "char") in got and (19, "page_number") in got
+    assert reader.noisy("\n".join(["odstavec bez zalomení " * 20] * 3) + "\nkrátký", "", "") == []
+
+
 def test_pages_that_are_no_scans(spark, reader):
     rows = [(1, None, ""), (2, "", ""), (3, "Dlouhý odstavec bez zalomení " * 20, "k"), (4, "a\nb", "k"), (5, "x" * 200_000, None)]
     df = spark.createDataFrame(rows, "page_id long, text string, book string").selectExpr("*", "CAST(NULL AS string) AS title", "'application/pdf' AS content_type", "'c' AS kind", "0 AS line_no")
