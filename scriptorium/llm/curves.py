@@ -6,12 +6,15 @@ take no room in windows and lists. For each of several curves, vectors are proje
 to a grid and placed along a Hilbert curve. Each curve's keys are range-partitioned and sorted in Spark; in
 the sorted order every vector is compared with a window of its neighbours by matrix products, and the best
 of a window are kept. The candidates of all curves merge, distinct, and the ``k`` best by cosine remain.
-Rows at the edge of a range are also sent to the range beside it, so no window is cut short there.
+Ranges hold about ``RANGE`` rows whatever the size of the cluster. Rows at the edge of a range are also sent to
+the range beside it, and a task that works through a range piece by piece carries both sides of a window over
+from one piece to the next, so no window is cut short.
 
 Windows find the close neighbours; where a vector has none, its ten best are hardly nearer than others and
 many directions would be needed. So the lists are merged and reranked once more among themselves, ``rounds``
 times: a vector's neighbours, and those that have it as one, are compared with each other, and a list takes
 what is better than its last entry. A vector that very many have as a neighbour is split into blocks.
+This search is approximate; ``exact`` compares a set of queries with all vectors in blocks, and says how much is found.
 At last the classes of a list, and the vector's own class with similarity 1, are expanded to their smallest ids.
 
 Results in special cases: null vectors, vectors with a null or non-finite number and all-zero ones take no
@@ -28,12 +31,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from scriptorium.operators import search
 from scriptorium.session import cut, spread
 
 CURVES, DIRECTIONS, BITS, WINDOW = 12, 6, 10, 384
 #: Unit vectors that agree to this in each number are equal; copies scaled in float32 differ by about 1e-8.
 GRID = 2.0**-20
 BLOCK = 256
+#: Rows of a range, about, and rows of a piece that a task works on at a time.
+RANGE, PIECE = 50_000, 20_000
 
 
 def hilbert(points: np.ndarray, bits: int) -> np.ndarray:
@@ -128,6 +134,12 @@ def _keys(unit: DataFrame, curves: int) -> DataFrame:
     return unit.mapInArrow(run, "curve int, key long, id long")
 
 
+def matrix(column: pa.Array) -> np.ndarray:
+    """The vectors of a binary column, all of one length, without a copy."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view(np.float32).reshape(len(column), -1)
+
+
 def _top(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """Columns of the ``k`` best of every row; what is equal to five digits goes by the smaller of ``ids``."""
     if score.shape[1] <= k:
@@ -141,11 +153,55 @@ def _top(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return best
 
 
+def compare(ids: np.ndarray, own: np.ndarray, x: np.ndarray, begin: int, end: int, k: int, window: int, least: float):
+    """Batches (id, other, s) of the best of the windows of rows ``begin`` to ``end`` among rows in the order of a curve."""
+    for a in range(begin, end, BLOCK):
+        b = min(a + BLOCK, end)
+        mine = np.flatnonzero(own[a:b]) + a
+        if not len(mine):
+            continue
+        lo, hi = max(0, a - window), min(len(ids), b + window)
+        s = x[mine] @ x[lo:hi].T
+        s[np.arange(len(mine)), mine - lo] = -3
+        best = _top(s, ids[lo:hi], k)
+        got = np.take_along_axis(s, best, 1)
+        r, c = np.nonzero((got > -2.5) & (got >= least))
+        yield pa.RecordBatch.from_arrays([pa.array(ids[mine[r]]), pa.array(ids[lo + best[r, c]]), pa.array(got[r, c].astype(np.float32))], names=["id", "other", "s"])
+
+
+def windows(batches, k: int, window: int, least: float):
+    """The same for Arrow batches (part, curve, key, id, v, own) in order; a piece ends a window's width before what has come."""
+    name, held, done = None, None, 0  # the rows held, of which the first ``done`` only serve as neighbours
+
+    def end():
+        return compare(*held, done, len(held[0]), k, window, least) if held is not None else ()
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        part, curve = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        change = [0, *(np.flatnonzero((part[1:] != part[:-1]) | (curve[1:] != curve[:-1])) + 1).tolist(), len(part)]
+        for a, b in zip(change, change[1:]):
+            rows = batch.slice(a, b - a)
+            new = [rows.column(3).to_numpy(zero_copy_only=False), rows.column(5).to_numpy(zero_copy_only=False), matrix(rows.column(4))]
+            if (now := (part[a], curve[a])) != name:
+                yield from end()
+                name, held, done = now, new, 0
+            else:
+                held = [np.concatenate(c) for c in zip(held, new)]
+            if len(held[0]) - done >= PIECE + window:
+                stop = len(held[0]) - window
+                yield from compare(*held, done, stop, k, window, least)
+                held, done = [c[max(0, stop - window) :] for c in held], min(stop, window)
+    yield from end()
+
+
 def neighbours(vectors: DataFrame, key: str = "vec_id", embedding: str = "embedding", k: int = 10, least: float = -2.0, curves: int = CURVES, window: int = WINDOW, rounds: int = 1, lists: int | None = None) -> DataFrame:
     """id, other, similarity, rank (from 1): the ``k`` most similar others of every usable vector.
 
     ``lists`` is the length of the lists while they are made (``k`` if not given); longer ones find more.
-    ``least`` leaves out neighbours below a similarity after the ``k`` best are known; the search is the same.
+    ``least`` leaves out what is less similar from the start: the ten best of a vector that reach it are the
+    same, but lists that it makes shorter lead the rounds to fewer vectors, so recall is that of the pairs asked for.
     """
     wanted, k = k, max(k, lists or k)
     everyone = cut(usable(vectors, key, embedding))
@@ -153,7 +209,7 @@ def neighbours(vectors: DataFrame, key: str = "vec_id", embedding: str = "embedd
     members = everyone.select("digest", F.col("id").alias("member")).join(unit.select("digest", "id"), "digest").select("id", "member")
     unit = unit.select("id", "v")
     rows = _keys(unit, curves)
-    parts = max(unit.sparkSession.sparkContext.defaultParallelism * 2, curves)
+    parts = max(unit.sparkSession.sparkContext.defaultParallelism * 2, curves, -(-unit.count() * curves // RANGE))
     ranged = rows.repartitionByRange(parts, "curve", "key").sortWithinPartitions("curve", "key", "id")
     # Sorted once and kept without the vectors; these are joined when the edges of the ranges are known.
     ranged = cut(ranged.withColumn("part", F.spark_partition_id()))
@@ -164,53 +220,9 @@ def neighbours(vectors: DataFrame, key: str = "vec_id", embedding: str = "embedd
     last = edge.where(f"at > n - {window}").select("curve", "key", "id", (F.col("part") + 1).alias("part"))
     guests = first.unionByName(last).withColumn("own", F.lit(False))
     all_ = ranged.withColumn("own", F.lit(True)).unionByName(guests).join(unit, "id").select("part", "curve", "key", "id", "v", "own")
-    sorted_ = all_.repartition(parts, "part").sortWithinPartitions("part", "curve", "key", "id")
-
-    def windows(ids: np.ndarray, own: np.ndarray, raw: list[bytes]):
-        x = np.frombuffer(b"".join(raw), np.float32).reshape(len(raw), -1)
-        for a in range(0, len(ids), BLOCK):
-            b = min(a + BLOCK, len(ids))
-            mine = np.flatnonzero(own[a:b]) + a
-            if not len(mine):
-                continue
-            lo, hi = max(0, a - window), min(len(ids), b + window)
-            s = x[mine] @ x[lo:hi].T
-            s[np.arange(len(mine)), mine - lo] = -3
-            best = _top(s, ids[lo:hi], k)
-            got = np.take_along_axis(s, best, 1)
-            keep = (got > -2.5) & (got >= least)
-            r, c = np.nonzero(keep)
-            yield ids[mine[r]], ids[lo + best[r, c]], got[r, c]
-
-    def run(batches):
-        # The rows of a range's curve come in pieces; a piece is worked on with what lies before and after it.
-        name, ids, own, raw = None, [], [], []
-
-        def flush():
-            for i, o, s in windows(np.array(ids, np.int64), np.array(own, bool), raw):
-                yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(o), pa.array(s.astype(np.float32))], names=["id", "other", "s"])
-
-        for batch in batches:
-            part, curve = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
-            change = np.concatenate([[0], np.flatnonzero((part[1:] != part[:-1]) | (curve[1:] != curve[:-1])) + 1, [len(part)]]) if len(part) else [0]
-            for a, b in zip(change, change[1:]):
-                now = (part[a], curve[a])
-                if now != name or len(ids) >= 60_000:
-                    if ids:
-                        yield from flush()
-                    if now != name:
-                        ids, own, raw = [], [], []
-                    else:  # keep the last window as guests
-                        ids, own, raw = ids[-window:], [False] * min(window, len(ids)), raw[-window:]
-                    name = now
-                piece = batch.slice(a, b - a)
-                ids.extend(piece.column(3).to_pylist())
-                raw.extend(piece.column(4).to_pylist())
-                own.extend(piece.column(5).to_pylist())
-        if ids:
-            yield from flush()
-
-    found = sorted_.mapInArrow(run, "id long, other long, s float")
+    # A range to a task, by its number: hashes of the numbers would put several into one.
+    sorted_ = all_.repartitionById(parts, "part").sortWithinPartitions("part", "curve", "key", "id")
+    found = sorted_.mapInArrow(lambda batches: windows(batches, k, window, least), "id long, other long, s float")
     # What one side finds, the other side gets as well.
     near = _ranked(found.unionByName(found.select(F.col("other").alias("id"), F.col("id").alias("other"), "s")), k)
     for _ in range(rounds):
@@ -219,6 +231,27 @@ def neighbours(vectors: DataFrame, key: str = "vec_id", embedding: str = "embedd
     return _expanded(near, members, wanted)
 
 
+def exact(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", embedding: str = "embedding", k: int = 10) -> DataFrame:
+    """id, other, similarity, rank of ``queries`` (some rows of ``vectors``) by comparison with all, in blocks of both.
+
+    What the search is measured against; ties to five digits go to the smaller id, as there.
+    """
+    rows = vectors.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), embedding).dropDuplicates(["id"])
+    asked = queries.where(F.col(key).isNotNull()).select(F.col(key).alias("qid"), embedding).dropDuplicates(["qid"])
+    # Of what is equal to five digits more may lie within the sixth, so some more than k are taken.
+    met = search.dense_search(rows, asked, 4 * k + 1, embedding=embedding).where("id <> qid")
+    order = Window.partitionBy("qid").orderBy(F.round("score", 5).desc(), "id")
+    return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(F.col("qid").alias("id"), F.col("id").alias("other"), F.col("score").alias("similarity"), "rank")
+
+
+def recall(found: DataFrame, true: DataFrame) -> float:
+    """Share of the neighbours in ``true`` that ``found`` has too; one as similar as the last true one counts."""
+    last = true.groupBy("id").agg(F.min("similarity").alias("last"), F.count("*").alias("n"))
+    hits = found.join(last, "id").groupBy("id", "n").agg(F.count_if(F.round("similarity", 5) >= F.round("last", 5)).alias("hit"))
+    got = hits.agg(F.sum(F.least("hit", "n"))).first()[0] or 0
+    return got / max(1, true.count())
+
+
 def _ranked(found: DataFrame, k: int) -> DataFrame:
     best = found.groupBy("id", "other").agg(F.max("s").alias("s"))
     # Products of one pair may differ in the last bits from block to block; equal vectors tie by id.
@@ -264,11 +297,11 @@ def _exchange(near: DataFrame, unit: DataFrame, k: int, least: float, parts: int
             change = np.flatnonzero((part[0][1:] != part[0][:-1]) | (part[1][1:] != part[1][:-1])) + 1
             stop = int(change[-1]) if len(change) else 0
             held = [c[stop:] for c in part]
-            yield from compare([c[:stop] for c in part], change[:-1] if len(change) else change)
+            yield from meet([c[:stop] for c in part], change[:-1] if len(change) else change)
         if held is not None:
-            yield from compare(held, np.zeros(0, np.int64))
+            yield from meet(held, np.zeros(0, np.int64))
 
-    def compare(part, change):
+    def meet(part, change):
         if not len(part[0]):
             return
         ids, last, end, raw = part[2:]

@@ -139,6 +139,45 @@ def test_neighbours_against_brute_force(spark):
     assert not any(a == b for a, b in got)
 
 
+def test_pieces_of_a_range_cut_no_window(monkeypatch):
+    """Rows of two curves in batches of odd sizes, worked on piece by piece, against all at once."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    n, window, k = 700, 30, 5
+    x = rng.standard_normal((2 * n, 8)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    curve, ids, own = np.repeat([0, 1], n), rng.permutation(2 * n), rng.random(2 * n) > 0.1
+    whole = pa.RecordBatch.from_arrays([pa.array(np.zeros(2 * n, np.int32)), pa.array(curve), pa.array(np.arange(2 * n)), pa.array(ids), pa.array([r.tobytes() for r in x], pa.binary()), pa.array(own)], names=["part", "curve", "key", "id", "v", "own"])
+    rows = lambda out: sorted((i, o) for b in out for i, o in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
+    monkeypatch.setattr(curves, "BLOCK", 1)
+    want = rows(curves.windows([whole], k, window, -2.0))
+    monkeypatch.setattr(curves, "PIECE", 40)
+    edges = np.unique(np.concatenate([[0, 2 * n], rng.integers(0, 2 * n, 60)]))
+    assert rows(curves.windows([whole.slice(a, b - a) for a, b in zip(edges, edges[1:])], k, window, -2.0)) == want
+    at = {(int(c), int(i)): p for p, (c, i) in enumerate(zip(curve, ids))}
+    for i, o in want:
+        c = 0 if (0, i) in at else 1
+        assert abs(at[c, i] - at[c, o]) <= window and own[at[c, i]]
+    assert len(want) == own.sum() * k
+
+
+def test_recall_against_the_exact_way(spark):
+    rng = np.random.default_rng(8)
+    centres = rng.standard_normal((90, 24))
+    x = centres[rng.integers(0, 90, 2500)] + 0.3 * rng.standard_normal((2500, 24))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x.astype(np.float32))] + [(9000, None)], "vec_id long, embedding array<float>")
+    true = curves.exact(df, df.where("vec_id % 50 = 0"))
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for q in (0, 50, 1200):
+        s = np.round(u @ u[q], 5)
+        s[q] = -2
+        got = [r.other for r in true.where(f"id = {q}").orderBy("rank").collect()]
+        assert np.allclose(s[got], s[np.lexsort((np.arange(len(s)), -s))[:10]], atol=2e-5)
+    assert curves.recall(true, true) == 1.0 and curves.recall(true.where("rank <= 5"), true) == 0.5
+    assert curves.recall(curves.neighbours(df, window=96), true) > 0.9
+
+
 def test_hilbert_is_a_curve():
     grid = np.array([(x, y, z) for x in range(8) for y in range(8) for z in range(8)])
     key = curves.hilbert(grid, 3)
