@@ -30,6 +30,8 @@ from scriptorium.session import spread
 CYRILLIC = dict(zip("АВЕЅІЈКМНОРСТУХаеѕіјорсухԁһԛԝ", "ABESIJKMHOPCTYXaesijopcyxdhqw"))
 GREEK = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧο", "ABEZHIKMNOPTYXo"))
 INVISIBLE = [0x00AD, 0x180E, *range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2060, 0x2065), 0xFEFF]
+# Combining accents; marks for symbols (from U+20D0) belong to formulas and stay.
+MARKS = [*range(0x0300, 0x0370), *range(0x1AB0, 0x1AC9), *range(0x1DC0, 0x1E00), *range(0xFE20, 0xFE30)]
 SPACES = [0x00A0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 
 WIDE, MARK, HIDDEN, BLANK = 1, 2, 4, 8
@@ -46,7 +48,7 @@ def tables() -> dict[str, np.ndarray]:
     width = np.ones(SIZE, np.uint8)
     for c in [*range(0xFF01, 0xFF5F), *range(0xFFE0, 0xFFE7)]:
         kind[c], to[c] = WIDE, ord(unicodedata.normalize("NFKC", chr(c))[0])
-    for c in range(0x0300, 0x0370):
+    for c in MARKS:
         kind[c] = MARK
     for c in INVISIBLE:
         kind[c], width[c] = HIDDEN, 0
@@ -59,7 +61,7 @@ def tables() -> dict[str, np.ndarray]:
     alike = np.arange(SIZE, dtype=np.uint32)
     for a, b in (CYRILLIC | GREEK).items():
         letter[ord(a)], alike[ord(a)] = WORD | ALIKE, ord(b)
-    for c in (*range(0x0300, 0x0370), *INVISIBLE):  # they don't part a word
+    for c in (*MARKS, *INVISIBLE):  # they don't part a word
         letter[c] = WORD
     # Expansions: ligatures, as (first, second, third).
     more = np.zeros((SIZE, 3), np.uint32)

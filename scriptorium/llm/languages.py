@@ -1,9 +1,11 @@
 """Languages of documents and of the segments of mixed ones (problem 10).
 
-A byte convolutional network reads windows of a fixed number of words, of fixed length in bytes: filters of
-several widths over one-hot bytes, the maximum of each over the window, a softmax on top. Words are parted by
-more zero bytes than a filter is wide, so the maximum over a window is the maximum over its words, and a
-worker convolves each distinct word once. The network is trained in numpy, first on the clean labelled
+A byte convolutional network reads windows of LENGTH bytes, which hold SPAN words at most and fewer where these
+are long: filters of several widths over one-hot bytes, the maximum of each over the window, a softmax on top.
+Training and use cut sentences into the same windows. Words are parted by more zero bytes than a filter is
+wide, so the maximum over a window is the maximum over its words; in use a worker therefore convolves each
+distinct word once, in batches of windows of fixed length, and takes the maximum over the words of a window,
+which gives the values of the window itself. A word too long for a window is cut into several. The network is trained in numpy, first on the clean labelled
 sentences, then on sentences of labelled documents where the first network agrees with the label; training
 sentences are also given without their accents. Every sentence of a document gets the mean log-probability
 of its windows; a segmentation of the document (a Viterbi path in which a segment has two sentences or more
@@ -33,8 +35,12 @@ from .words import sampled
 LANGUAGES = ("en", "cs", "sk", "de", "pl")
 #: Labelled documents that the network is fitted on, at most.
 SAMPLE = 3000
+#: Clean sentences, and sentences of documents of each language, that it is fitted on, at most.
+CLEAN, EACH = 10_000, 1200
 SPAN, LENGTH, FILTERS, WIDTHS = 8, 168, 32, (3, 4, 6)
 GAP = b"\0" * (max(WIDTHS) - 1)
+#: Bytes of a word that a window can hold.
+LONGEST = LENGTH - 2 - 2 * len(GAP)
 #: Words whose filter values a worker keeps.
 KEPT_WORDS = 100_000
 SWITCH = 5.0
@@ -52,9 +58,15 @@ def letters(sentence: str) -> bytes:
 
 
 def shares(words: list[bytes]) -> list[list[bytes]]:
-    """A sentence's words in windows of SPAN at most, of equal shares, so that no window is a stub."""
+    """A sentence's words in windows of SPAN at most that fit into LENGTH bytes, of equal shares, so that no window is a stub."""
+    words = [w[at : at + LONGEST] for w in words for at in range(0, len(w), LONGEST)]
+    sizes = [len(w) + 2 + len(GAP) for w in words]
     n = max(1, -(-len(words) // SPAN))
-    return [words[len(words) * k // n : len(words) * (k + 1) // n] for k in range(n)]
+    while True:
+        edges = [len(words) * k // n for k in range(n + 1)]
+        if n >= len(words) or all(sum(sizes[a:b]) + len(GAP) <= LENGTH for a, b in zip(edges, edges[1:])):
+            return [words[a:b] for a, b in zip(edges, edges[1:])]
+        n += 1
 
 
 def windows(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -62,7 +74,7 @@ def windows(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     rows, of = [], []
     for i, raw in enumerate(raws):
         for own in shares(raw.split()):
-            rows.append((GAP + b"".join(b" " + w + b" " + GAP for w in own))[:LENGTH].ljust(LENGTH, b"\0"))
+            rows.append((GAP + b"".join(b" " + w + b" " + GAP for w in own)).ljust(LENGTH, b"\0"))
             of.append(i)
     return np.frombuffer(b"".join(rows), np.uint8).reshape(-1, LENGTH), np.array(of, np.int64)
 
@@ -235,10 +247,14 @@ def segments(text: str | None, scored: list[tuple[int, int, np.ndarray]]) -> lis
     return out
 
 
-def train(documents: DataFrame, samples: DataFrame, sample: int = SAMPLE) -> Network:
-    """The network; ``samples`` are the clean sentences (fixed in number), ``documents`` give at most ``sample`` rows."""
-    clean = [(r.text, r.lang) for r in samples.select("text", "lang").limit(10_000).collect() if r.text and r.lang in LANGUAGES]
-    raws = [(letters(v), LANGUAGES.index(g)) for t, g in clean for v in (t, plain(t))]
+def train(documents: DataFrame, samples: DataFrame, sample: int = SAMPLE, clean: int = CLEAN, each: int = EACH) -> Network:
+    """The network; fitted on at most ``clean`` rows of the clean sentences, in the order of a hash, and ``sample`` documents.
+
+    Of a document at most twelve sentences, of a language at most ``each`` sentences of documents are fitted on.
+    """
+    rows = sampled(samples.where(F.col("lang").isin(*LANGUAGES) & (F.length("text") > 0)).select("text", "lang", "sample_id" if "sample_id" in samples.columns else F.lit(0).alias("sample_id")), F.xxhash64("text"), clean, samples.count()).collect()
+    clean_ = [(r.text, r.lang) for r in sorted(rows, key=lambda r: (r.sample_id, r.text))]
+    raws = [(letters(v), LANGUAGES.index(g)) for t, g in clean_ for v in (t, plain(t))]
     first = Network()
     # Sentences are short of windows; halves of them double what the network sees.
     more = raws + [(r[len(r) // 2 :].partition(b" ")[2].strip() or r, g) for r, g in raws]
@@ -261,7 +277,7 @@ def train(documents: DataFrame, samples: DataFrame, sample: int = SAMPLE) -> Net
     train_raws, y = [], []
     for g in range(len(LANGUAGES)):
         own = agreed[label[agreed] == g]
-        own = own[rng.permutation(len(own))[:1200]]
+        own = own[rng.permutation(len(own))[:each]]
         for i in own:
             train_raws.append(pool[i])
             y.append(g)

@@ -242,6 +242,11 @@ def slots(spark, planned: list[dict], per_shard: int = SLOTS, seed: int = SEED)
     return rows.withColumn("slot", F.row_number().over(order) - 1).select("mix", "shard", "slot", "source", "block", "round")
 
 
+def taken(documents: DataFrame, targets: DataFrame, size: int = BLOCK, keep: str = "size", folder: str = tokens.VOCABULARIES) -> DataFrame:
+    """mix, shard, slot, source, block, round: which block lies where, without its tokens."""
+    return slots(documents.sparkSession, plan(encoded(documents, folder), targets, size, keep))
+
+
 def mix(documents: DataFrame, targets: DataFrame, size: int = BLOCK, keep: str = "size", folder: str = tokens.VOCABULARIES) -> DataFrame:
     """mix, shard, slot, source, block, round, ids: the records of every mix."""
     docs = encoded(documents, folder)

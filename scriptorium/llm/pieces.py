@@ -1,12 +1,14 @@
 """Splitting of oversized texts at natural boundaries (problem 5).
 
 A text over the limit is cut at the coarsest kind of boundary that leaves nothing over the limit: blank
-lines, else also sentence ends, else all white space, else anywhere. The number of pieces is the least that
-leaves room for overlaps; targets lie at equal distances, each is snapped to the strongest permitted boundary
+lines, else also sentence ends, else all white space, else anywhere. The number of pieces starts at the least
+that can hold the text; targets lie at equal distances, each is snapped to the strongest permitted boundary
 near it, and a piece is added whenever a limit fails. From the second on, a piece starts with an overlap: the
 end of its predecessor, from a word's start (from anywhere within a word that was cut), up to ``overlap``
-characters. Room is kept for a quarter of it at least, or for the predecessor's last word where that is longer;
-only where no boundary leaves so much is it less, or none after a last word longer than ``overlap``.
+characters. ``room`` of these (or the predecessor's last word, where that is longer) count towards the limit while
+targets are placed: a number of pieces at which they don't fit fails, as long as a boundary would leave them
+room. Only where none does is the overlap shorter, or none after a last word longer than ``overlap``. With
+``room`` as much as ``overlap`` overlaps are whole, at the price of more pieces.
 
 Results in special cases: null, empty and blank texts and texts within the limit give no piece; repeated rows
 give their pieces once per row here, and the queries keep one. Lengths count characters.
@@ -56,8 +58,12 @@ def longest(first: int, last: int, ends: list[int], starts: list[int], strength:
     return max(most, last - begin)
 
 
-def cut(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> tuple[str, list[tuple[int, int, int]]] | None:
-    """Kind of boundary and the pieces (start of the overlap, start of the own part, end); None if within the limit."""
+def cut(text: str, limit: int = LIMIT, overlap: int = OVERLAP, room: int | None = None) -> tuple[str, list[tuple[int, int, int]]] | None:
+    """Kind of boundary and the pieces (start of the overlap, start of the own part, end); None if within the limit.
+
+    ``room`` is a quarter of the overlap if not given.
+    """
+    room = overlap // 4 if room is None else min(room, overlap)
     if len(text) <= limit:
         return None
     first = len(text) - len(text.lstrip(WHITE))
@@ -77,13 +83,13 @@ def cut(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> tuple[str, lis
         points = [p for p in zip(ends, starts, strength) if p[2] <= level]
     kept = [p[0] for p in points]
 
-    def reach(own: list[tuple[int, int]], begin: int, low: int, most: int) -> int:
+    def reach(own: list[tuple[int, int]], begin: int, low: int) -> int:
         """Furthest end of the own part at ``begin`` that leaves room for an overlap, if a boundary does."""
         if not own:
             return begin + limit
         before, end = own[-1]
         word = end - max(before, *(text.rfind(c, before, end) + 1 for c in WHITE))
-        need = max(most, word) if word <= overlap else most if level == 3 else 0
+        need = max(room, word) if word <= overlap else room if level == 3 else 0
         far = end + limit - need
         return far if far > begin and (last <= far or bisect_right(kept, far, low) > low) else begin + limit
 
@@ -92,7 +98,7 @@ def cut(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> tuple[str, lis
         step, begin, low, own = (last - first) / count, first, 0, []
         for i in range(1, count):
             target, slack = first + i * step, step * 0.2
-            high = bisect_right(kept, reach(own, begin, low, least_room), low)
+            high = bisect_right(kept, reach(own, begin, low), low)
             if high <= low:
                 return None
             a, b = bisect_left(kept, target - slack, low, high), bisect_right(kept, target + slack, low, high)
@@ -101,19 +107,17 @@ def cut(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> tuple[str, lis
             own.append((begin, points[best][0]))
             begin, low = points[best][1], best + 1
         own.append((begin, last))
-        return own if last <= reach(own[:-1], begin, low, least_room) else None
-
-    # Room for an overlap first; when equal parts don't leave it, more pieces are tried, as many as greedy packing
-    # with room for whole overlaps takes, and then that serves.
-    least_room = overlap // 4
-    greedy, begin, low = [], first, 0
-    while last > (far := reach(greedy, begin, low, overlap)):
-        best = bisect_right(kept, far, low) - 1
-        greedy.append((begin, points[best][0]))
-        begin, low = points[best][1], best + 1
-    greedy.append((begin, last))
-    least = -(-(last - first) // limit)
-    own = next((x for n in range(least, len(greedy) + 1) if (x := place(n))), greedy)
+        return own if last <= reach(own[:-1], begin, low) else None
+
+    # One piece more for every failure, then ever larger steps for texts of thousands of pieces; a cut at every
+    # boundary is the last of them.
+    count, own = -(-(last - first) // limit), None
+    while own is None and count <= len(points):
+        own = place(count)
+        count += max(1, count // 50)
+    if own is None:
+        begins, stops = [first, *(p[1] for p in points)], [*kept, last]
+        own = list(zip(begins, stops))
     out = []
     for i, (s, e) in enumerate(own):
         o = s
@@ -133,7 +137,7 @@ def cut(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> tuple[str, lis
     return KINDS[level], out
 
 
-def split_long(df: DataFrame, key: str, text: str, limit: int = LIMIT, overlap: int = OVERLAP, bodies: bool = True) -> DataFrame:
+def split_long(df: DataFrame, key: str, text: str, limit: int = LIMIT, overlap: int = OVERLAP, bodies: bool = True, room: int | None = None) -> DataFrame:
     """Pieces of every ``text`` of ``df`` over ``limit``: key, piece_no, boundary, start, own_start, end and, with ``bodies``, piece.
 
     One pass without a shuffle; short texts never leave the JVM. Other columns of ``df`` are not read.
@@ -147,7 +151,7 @@ def split_long(df: DataFrame, key: str, text: str, limit: int = LIMIT, overlap:
                 part = batch.slice(at, 500)
                 out: list[list] = [[] for _ in range(7 if bodies else 6)]
                 for k, value in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    kind, own = cut(value, limit, overlap) or ("", [])
+                    kind, own = cut(value, limit, overlap, room) or ("", [])
                     for n, (o, s, e) in enumerate(own or ([(0, 0, 0)] if kind else [])):
                         for column, x in zip(out, (k, n, kind, o, s, e, *([value[o:e]] if bodies else []))):
                             column.append(x)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scriptorium.session import table
@@ -78,14 +78,31 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.distinct()
 
 
-def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pieces, as positions in the text, with what each shares with its predecessor."""
+def _pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of pages and chunks with whole overlaps: as many pieces as that takes."""
     out = None
     for rec, name, key, text in (("page", "pages", "page_id", "text"), ("chunk", "chunks", "id", "body")):
-        rows = pieces.split_long(table(spark, sf_dir, name), key, text, bodies=False)
-        rows = rows.select(F.lit(rec).alias("rec"), F.col("key").alias("rec_key"), "piece_no", "start", "own_start", "end")
+        rows = pieces.split_long(table(spark, sf_dir, name), key, text, room=pieces.OVERLAP)
+        rows = rows.select(F.lit(rec).alias("rec"), F.col("key").alias("rec_key"), "piece_no", "start", "own_start", "end", "piece")
         out = rows if out is None else out.unionByName(rows)
-    return out.distinct()
+    return out
+
+
+def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pieces: place in the text, what each shares with its predecessor, and the text itself."""
+    return _pieces(spark, sf_dir).distinct()
+
+
+def p5_covered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per record: digest of what its pieces hold beside overlaps and white space, and whether all keep to the limit and overlap."""
+    own = F.substring("piece", F.col("own_start") - F.col("start") + 1, pieces.LIMIT)
+    overlap = F.lag("end").over(Window.partitionBy("rec", "rec_key").orderBy("piece_no")) - F.col("start")
+    rows = _pieces(spark, sf_dir).distinct().withColumns({"own": F.regexp_replace(own, "[ \\t\\r\\n]+", ""), "overlap": F.coalesce(overlap, F.lit(0))})
+    each = rows.groupBy("rec", "rec_key").agg(
+        F.sha1(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece_no", "own"))), lambda x: x["own"]), "")).alias("digest"),
+        (F.max(F.length("piece")) <= pieces.LIMIT).alias("within"), (F.max("overlap") <= pieces.OVERLAP).alias("overlaps"),
+    )
+    return each
 
 
 # --- 6 bilingual sentences
@@ -112,6 +129,11 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_column(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def p8_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digest of every text as its ids give it back."""
+    return tokens.decode_column(p8_ids(spark, sf_dir)).select("doc_id", F.sha1("text").alias("digest"))
+
+
 # --- 9 mixes
 def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
@@ -121,6 +143,15 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
 
 
+def p9_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per mix and source, whether no block is taken oftener than it may be, and none twice in a round; targets without blocks as well."""
+    targets = table(spark, sf_dir, "mix_targets").select("mix", "source", "max_repeats").distinct()
+    uses = mixing.taken(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets")).groupBy("mix", "source", "block").agg(F.count("*").alias("uses"), F.count_distinct("round").alias("rounds"))
+    most = uses.groupBy("mix", "source").agg(F.max("uses").alias("most"), F.max(F.col("uses") - F.col("rounds")).alias("twice"))
+    rows = targets.join(most, ["mix", "source"], "left")
+    return rows.select("mix", "source", (F.coalesce("most", F.lit(0)) <= F.col("max_repeats")).alias("within"), F.coalesce("twice", F.lit(0)).alias("twice"))
+
+
 # --- 10 languages
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
@@ -138,5 +169,5 @@ def p10_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 __all__ = ["QUERIES", "SQL"]
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_restored, p2_found, p2_repaired, p3_found, p3_unified, p4_found, p4_neighbours, p5_found, p5_pieces, p6_found, p7_found, p7_groups, p8_ids, p9_mix, p9_shares, p10_found, p10_segments)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_restored, p2_found, p2_repaired, p3_found, p3_unified, p4_found, p4_neighbours, p5_found, p5_pieces, p5_covered, p6_found, p7_found, p7_groups, p8_ids, p8_decoded, p9_mix, p9_shares, p9_kept, p10_found, p10_segments)}
 

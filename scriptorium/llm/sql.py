@@ -17,6 +17,13 @@ m AS (SELECT rec, rec_key,
   list_max(list_transform(string_split(regexp_replace(regexp_replace(t, '[ \\t\\r]*\\n[ \\t\\r]*\\n{W}*', chr(1), 'g'), '([.!?]){W}+', '\\1' || chr(1), 'g'), chr(1)), lambda p: length(regexp_replace(p, '^{W}+|{W}+$', '', 'g')))) AS sentence,
   list_max(list_transform(regexp_split_to_array(t, '{W}+'), lambda p: length(p))) AS word FROM t)
 SELECT rec, rec_key, CASE WHEN paragraph <= 1400 THEN 'paragraph' WHEN sentence <= 1400 THEN 'sentence' WHEN word <= 1400 THEN 'word' ELSE 'hard' END AS boundary FROM m""",
+    # What the pieces of a text hold beside overlaps and white space is the text without its white space.
+    "p5_covered": f"""
+WITH t AS (SELECT DISTINCT 'page' AS rec, page_id::VARCHAR AS rec_key, text AS t FROM pages WHERE length(text) > 1400 UNION SELECT DISTINCT 'chunk', id, body FROM chunks WHERE length(body) > 1400)
+SELECT rec, rec_key, sha1(regexp_replace(t, '{W}+', '', 'g')) AS digest, true AS within, true AS overlaps FROM t""",
+    # Encoding and decoding give the text again; nothing of a null one.
+    "p8_decoded": "SELECT doc_id, sha1(coalesce(text, '')) AS digest FROM documents",
+    "p9_kept": "SELECT DISTINCT mix, source, true AS within, 0 AS twice FROM mix_targets",
     # Sets of three successive words; pairs that share half of their union.
     "p7_found": """
 WITH w AS (SELECT page_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM (SELECT DISTINCT page_id, text FROM pages)),

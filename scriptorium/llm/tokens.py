@@ -141,3 +141,21 @@ def encode_column(df: DataFrame, text: str = "text", ids: str = "ids", folder: s
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), lists], names=[*keep, ids])
 
     return spread(df.select(*keep, F.col(text).cast("string").alias(text))).mapInArrow(run, schema)
+
+
+def decode_column(df: DataFrame, ids: str = "ids", text: str = "text", folder: str = VOCABULARIES, name: str = "byte_bpe_50k") -> DataFrame:
+    """``df`` with the text that the column ``ids`` stands for in place of it; bytes that are no text become U+FFFD, null stays null."""
+    spark = df.sparkSession
+    words = spark.sparkContext.broadcast({i: t for t, i in load_ranks(folder, name).items()})
+    keep = [c for c in df.columns if c not in (text, ids)]
+    schema = T.StructType([df.schema[c] for c in keep] + [T.StructField(text, T.StringType())])
+
+    def run(batches):
+        token = words.value.__getitem__
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                texts = [None if v is None else b"".join(map(token, v)).decode("utf-8", "replace") for v in part.column(ids).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(texts, pa.string())], names=[*keep, text])
+
+    return df.select(*keep, ids).mapInArrow(run, schema)

@@ -58,6 +58,22 @@ def test_words_and_windows_give_the_same_values():
             at += 1
 
 
+def test_windows_of_long_words_lose_nothing():
+    rng = np.random.default_rng(1)
+    net = languages.Network()
+    raws = [b" ".join(bytes(rng.integers(97, 123, n, dtype=np.uint8)) for n in sizes) for sizes in ([400, 3], [30] * 9, [1] * 25, [157, 156, 1], [2000])]
+    x, of = languages.windows(raws)
+    assert x.shape[1] == languages.LENGTH and set(of.tolist()) == set(range(len(raws)))
+    for i, raw in enumerate(raws):
+        assert b"".join(bytes(r) for r in x[of == i]).replace(b"\0", b"").replace(b" ", b"") == raw.replace(b" ", b"")
+    # what words give, alone and put together, is what their windows give
+    z = net.pooled(x) @ net.out + net.bias
+    z -= z.max(1, keepdims=True)
+    z -= np.log(np.exp(z).sum(1, keepdims=True))
+    want = np.array([z[of == i].mean(0) for i in range(len(raws))])
+    assert np.allclose(net.sentences(raws), want, atol=1e-5)
+
+
 def test_path_has_no_single_sentence():
     rng = np.random.default_rng(0)
     for n in (2, 3, 4, 7, 30):
@@ -112,6 +128,14 @@ def test_blocks_hold_every_token_once(spark):
     assert sorted(r.block for r in got) == list(range(len(got))) and all(r.n == 100 for r in got if r.block < len(got) - 1)
 
 
+@needs_words
+def test_decoding_gives_the_text_again(spark):
+    rows = [(1, "Žluťoučký kůň 😀\n"), (2, ""), (3, None), (4, "<|endoftext|>")]
+    df = tokens.encode_column(spark.createDataFrame(rows, "doc_id int, text string"))
+    assert {r.doc_id: r.text for r in tokens.decode_column(df).collect()} == {k: t or "" for k, t in rows}
+    assert tokens.decode_column(df.limit(0)).count() == 0
+
+
 def test_running_total_in_ranges(spark, monkeypatch):
     monkeypatch.setattr(mixing, "BUCKET", 10)
     df = spark.range(1000).selectExpr("id", "id % 3 AS g", "id % 7 AS n")

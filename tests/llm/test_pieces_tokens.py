@@ -107,3 +107,29 @@ def test_every_piece_starts_with_an_overlap():
         assert min(overlaps(words)) > 35
     # a last word longer than the overlap leaves none
     assert overlaps(("a " * 590 + "w" * 205 + ". ") * 2 + "b " * 300)[0] <= 0
+
+
+def word_start(text, low, high):
+    """First place from ``low`` to ``high`` where a word begins, ``high`` if there is none."""
+    return next((i for i in range(low, high) if text[i] not in pieces.WHITE and (i == 0 or text[i - 1] in pieces.WHITE)), high)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from(["Slovo", "dlouhé", "konec.", "Další!", "\n\n", "\n", "a", "neobyčejného"]), min_size=60, max_size=300))
+def test_overlaps_are_whole_where_there_is_room(words):
+    """With room for whole overlaps every later piece begins at the first word within the last 20 characters of its predecessor."""
+    text, limit, overlap = " ".join(words), 100, 20
+    got = pieces.cut(text, limit, overlap, overlap)
+    if got is None or got[0] != "word":  # paragraphs and sentences may leave no room
+        return
+    own = got[1]
+    for (_, s0, e0), (o, s, e) in zip(own, own[1:]):
+        assert e - o <= limit
+        assert o == min(s, word_start(text, max(s0, e0 - overlap), e0)) or o == s and word_start(text, max(s0, e0 - overlap), e0) == e0
+
+
+def test_thousands_of_pieces():
+    rng = random.Random(3)
+    for text in ("y" * 400_000, " ".join("x" * rng.randint(1, 1390) for _ in range(1500)), "\n\n".join("z" * rng.randint(900, 1400) for _ in range(700))):
+        kind, own = pieces.cut(text, room=200)
+        assert all(e - o <= 1400 for o, _, e in own) and "".join(text[s:e] for _, s, e in own).replace("\n", "").replace(" ", "") == text.replace("\n", "").replace(" ", "")
