@@ -79,6 +79,13 @@ class Perceptron:
         return out
 
     def best(self, features: list[str], among: list[str] | None = None) -> str:
+        if among is None:  # labels that no feature speaks for or against score nought, and needn't be looked at if one is above
+            out: dict[str, float] = {}
+            for f in features:
+                for label, w in self.weights.get(f, {}).items():
+                    out[label] = out.get(label, 0.0) + w
+            if out and (top := max(out.values())) > 0:
+                return max((k for k, v in out.items() if v == top), key=lambda k: (k == "K", k))
         s = self.scores(features, among)
         return max(s, key=lambda k: (s[k], k == "K", k))
 
@@ -358,7 +365,7 @@ def judge_features(word: str, text: str, count: int, edits: int, margin: float,
     return [
         "bias", f"v={level}", f"v,form={level},{form}", f"v,size={level},{size}", f"v,case,plain={level},{case},{plain}", f"v,case,plain,size={level},{case},{plain},{size}", f"digit,case={digit},{case}",
         f"v,digit,sign={level},{digit},{sign}", f"v,sure={level},{sure}", f"v,digit,sign,sure,left={level},{digit},{sign},{sure},{left}", f"edits={edits},{level}", f"rank={min(rank, 3)},{level}", f"nth={min(nth, 2)},{level}",
-        f"left={left},{digit},{sign}", f"few={letters < 3},{level},{form}", f"v,form,digit,case={level},{form},{digit},{case}",
+        f"left={left},{digit},{sign}", f"blind={level == 0 and digit == 'no' and not sign}", f"few={letters < 3},{level},{form}", f"v,form,digit,case={level},{form},{digit},{case}",
     ]
 
 
@@ -556,7 +563,7 @@ def train(pages: DataFrame, sample: int = SAMPLE, titles: int = TITLES, words: i
     joiner.average()
     reader = Reader(dict(vocabulary), compounds, tagger, editor, joiner, Perceptron(["yes", "no"]))
     judged = judge_cases(reader, drawn, rare, [w for c in clean for p in c for w in re.findall(r"[^\W_]*\d[^\W_]*", p)], rng)
-    for _ in range(2):
+    for _ in range(6):
         rng.shuffle(judged)
         for features, good in judged:
             reader.judge.update(features, "yes" if good else "no")
