@@ -12,7 +12,7 @@ from scriptorium.functions import urls as U
 from scriptorium.functions import vectors as V
 from scriptorium.operators import answers, chunking, corpus, index, rerankers, search
 from scriptorium.session import cut, shared_folder, table
-from scriptorium.sources import books, html
+from scriptorium.sources import books, html, records, web
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -729,3 +729,124 @@ def latest_good_fetch(spark, sf_dir):
     last = rows.where("status IN ('fetched', 'cached')").groupBy("url").agg(F.max("fetched_at").alias("last"))
     return rows.join(last, "url").where("fetched_at = last").select("url", "fetch_id", F.lit(True).alias("fresh"))
 
+
+# --- single functions over whole tables
+@query("SELECT DISTINCT page_id, regexp_matches(title, '(?i)^\\s*(obr[aá]zek|obr\\.|figure|figere|fig\\.|foto|photo|tabulka|table)\\b') AS figure FROM pages WHERE title IS NOT NULL")
+def figure_titles(spark, sf_dir):
+    return pages_(spark, sf_dir).where("title IS NOT NULL").select("page_id", X.is_figure_title("title").alias("figure")).distinct()
+
+
+@query("SELECT DISTINCT page_id, sha1(replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), chr(39), '&#39;')) AS digest FROM pages")
+def html_escaped(spark, sf_dir):
+    return pages_(spark, sf_dir).select("page_id", F.sha1(X.escape_html("text")).alias("digest")).distinct()
+
+
+@query("SELECT doc_id, source AS backend, coalesce(lang, '') || ':8b' AS model FROM documents")
+def keys_split(spark, sf_dir):
+    key = X.split_key(F.concat("source", F.lit(":"), F.coalesce("lang", F.lit("")), F.lit(":8b")))
+    return table(spark, sf_dir, "documents").select("doc_id", key.alias("k")).select("doc_id", "k.backend", "k.model")
+
+
+@query("SELECT sample_id, 'Instruct: Find passages that answer the question' || chr(10) || 'Query: ' || text AS question, 'query: ' || text AS e5, 'passage: ' || text AS passage, text AS plain FROM lang_samples")
+def prompts_embedded(spark, sf_dir):
+    t = F.col("text")
+    rows = table(spark, sf_dir, "lang_samples")
+    return rows.select("sample_id", index.prompt_text(t, "Qwen3-Embedding-8B", True).alias("question"), index.prompt_text(t, "e5-large", True).alias("e5"), index.prompt_text(t, "e5-large", False).alias("passage"), index.prompt_text(t, "bge-m3", True).alias("plain"))
+
+
+@query(f"SELECT DISTINCT page_id, regexp_replace(text, '^{W}+|{W}+$', '', 'g') = '' OR (length(text) > 0 AND (length(text) - length(regexp_replace(text, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x{{FFFD}}\\x{{2303}}\\x{{270F}}]', '', 'g'))) / length(text)::DOUBLE > 0.005) AS need FROM pages WHERE content_type = 'application/pdf'")
+def ocr_needed(spark, sf_dir):
+    return pages_(spark, sf_dir).where("content_type = 'application/pdf'").select("page_id", books.needs_ocr(F.col("text")).alias("need")).distinct()
+
+
+@query(f"WITH {BOOK_PAGES} SELECT file, n, sha1(CASE WHEN n > 10 THEN 'recognised ' || page_id ELSE {CLEAN} END) AS digest FROM b")
+def ocr_chosen(spark, sf_dir):
+    """Recognised text where there is one, the text layer elsewhere; pages beyond the tenth have one here."""
+    own = book_pages_(spark, sf_dir)
+    ocr = own.where("n > 10").select("file", "n", F.concat(F.lit("recognised "), F.col("page_id").cast("string")).alias("text"))
+    return books.chosen_text(own.withColumnRenamed("text", "raw"), ocr, "always").select("file", "n", F.sha1("text").alias("digest"))
+
+
+@query(f"WITH {BOOK_PAGES} SELECT file, n FROM b WHERE n > 10")
+def ocr_misses(spark, sf_dir):
+    """Pages that the recognition cache doesn't hold; it holds the first ten of each file here."""
+    own = book_pages_(spark, sf_dir).select("file", "n", F.sha1("file").alias("file_sha"), F.lit(200).alias("dpi"))
+    return books.ocr_misses(own, own.where("n <= 10").select("file_sha", "dpi", "n")).select("file", "n")
+
+
+@query("SELECT event_id, round(1.0::DOUBLE - value - 0.125::DOUBLE, 9) AS y0 FROM events")
+def boxes_flipped(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", F.round(books.flip(F.col("value"), F.lit(0.125)), 9).alias("y0"))
+
+
+@query(f"""
+WITH {BOOK_PAGES}, s AS (SELECT DISTINCT file, regexp_replace(regexp_extract(file, '([^/]*)$', 1), '\\.[^.]*$', '') AS stem FROM b)
+SELECT file, nullif(regexp_extract(stem, '^(\\d{{1,2}})?[_\\-\\s]*(.+?)$', 1), '')::INT AS chapter, regexp_replace(regexp_replace(regexp_extract(stem, '^(\\d{{1,2}})?[_\\-\\s]*(.+?)$', 2), '[_\\-]+', ' ', 'g'), '^{W}+|{W}+$', '', 'g') AS title FROM s""")
+def file_names(spark, sf_dir):
+    own = book_pages_(spark, sf_dir).select("file").distinct()
+    return own.select("file", books.file_parts(F.col("file")).alias("p")).select("file", "p.chapter", "p.title")
+
+
+@query("SELECT DISTINCT page_id, chapter IS NULL AS frameset FROM pages WHERE content_type = 'text/html'")
+def framesets(spark, sf_dir):
+    """Documents with a frameset, which are no pages; those of pages without a chapter get one here."""
+    rows = _html_rows(spark, sf_dir).join(pages_(spark, sf_dir).select("page_id", "chapter").distinct(), "page_id")
+    made = rows.select("page_id", "url", "path", F.concat(F.when(F.col("chapter").isNull(), F.lit("<frameset cols=2></frameset>")).otherwise(F.lit("")), F.col("html")).alias("html"))
+    return html.parsed(made).select("page_id", "frameset").distinct()
+
+
+@query("SELECT DISTINCT url, sha1(text) AS digest FROM pages WHERE content_type = 'text/html'")
+def documents_decoded(spark, sf_dir):
+    """Bytes of a crawl as text, by the encoding that their header names."""
+    rows = pages_(spark, sf_dir).where("content_type = 'text/html'").select("url", F.encode("text", "utf-8").alias("body"), F.lit("text/html; charset=utf-8").alias("content_type"))
+    return web.documents(rows).select("url", F.sha1("html").alias("digest")).distinct()
+
+
+SITE = "https://ucebnice.example/podklady/online-priprava/"
+
+
+@query(f"""
+SELECT '{SITE}' || n || '.html' AS url, CASE WHEN n = 35 THEN 'http_404' WHEN n IN (33, 43) THEN 'error' ELSE 'fetched' END AS status, floor(log2(n))::INT AS depth, n - 1 AS place FROM range(1, 51) AS t(n)""")
+def crawl_walk(spark, sf_dir):
+    """A crawl of a made site in which page n names pages 2n and 2n + 1, to a limit of fifty URLs; two fail and one isn't there."""
+
+    def fetch(url):
+        n = int(url.rsplit("/", 1)[1].split(".")[0])
+        if n in (33, 43):
+            raise OSError("reset")
+        return (404, "", b"") if n == 35 else (200, "text/html", f'<a href="{2 * n}.html"><a href="{2 * n + 1}.html#x">'.encode())
+
+    return corpus.crawl([f"{SITE}1.html"], fetch, spark, limit=50, wait=0).select("url", "status", "depth", "place")
+
+
+@query("SELECT doc_id AS qid, seq, event, data FROM (SELECT doc_id, unnest([1, 2]) AS seq, unnest(['meta', 'done']) AS event, unnest([source, doc_id::VARCHAR]) AS data FROM documents)")
+def sse_read(spark, sf_dir):
+    """Frames as text, and read again."""
+    d = table(spark, sf_dir, "documents")
+    text = F.concat(answers.frame(F.lit("meta"), F.col("source")), answers.frame(F.lit("done"), F.col("doc_id").cast("string")))
+    rows = d.select(F.col("doc_id").alias("qid"), F.posexplode(answers.frame_parts(text)).alias("pos", "f"))
+    return rows.select("qid", (F.col("pos") + 1).alias("seq"), "f.event", "f.data")
+
+
+@query("SELECT DISTINCT url, path, edition_key, lang, edition, chapter, section, title, sha1(text) AS text, len(links) AS n_links, content_type, fetched_at, book FROM pages")
+def pages_saved(spark, sf_dir):
+    """Page records written as JSON lines and read again."""
+    path = f"{shared_folder(spark)}/pages-{hashlib.sha1(sf_dir.encode()).hexdigest()[:12]}"
+    records.save_pages(pages_(spark, sf_dir), path)
+    own = records.load_pages(spark, path)
+    return own.select("url", "path", "edition_key", "lang", "edition", "chapter", "section", "title", F.sha1("text").alias("text"), F.size("links").cast("long").alias("n_links"), "content_type", "fetched_at", "book").distinct()
+
+
+@query("SELECT text AS q, lang, NULL::INT AS chapter, CASE WHEN lang = 'cs' THEN 1 END AS n_sections FROM lang_samples")
+def questions_read(spark, sf_dir):
+    """Evaluation questions from JSON lines in which keys are optional."""
+    path = f"{shared_folder(spark)}/questions-{hashlib.sha1(sf_dir.encode()).hexdigest()[:12]}"
+    rows = table(spark, sf_dir, "lang_samples").select(F.col("text").alias("q"), "lang", F.when(F.col("lang") == "cs", F.array(F.lit("1.1"))).alias("sections"))
+    rows.write.mode("overwrite").option("ignoreNullFields", "true").json(path)
+    return records.load_questions(spark, path).select("q", "lang", "chapter", F.when(F.col("sections").isNotNull(), F.size("sections")).alias("n_sections"))
+
+
+@query("SELECT sha1('You help students with ' || string_agg(book, '; ' ORDER BY book) || '.' || chr(10) || chr(10) || '{}') AS digest FROM (SELECT DISTINCT book FROM pages WHERE book <> '')".format(answers.RULES.replace("'", "' || chr(39) || '")))
+def system_prompts(spark, sf_dir):
+    names = corpus.books(pages_(spark, sf_dir)).agg(F.array_join(F.array_sort(F.collect_list("book")), "; ").alias("names"))  # a name a book
+    return names.select(F.sha1(F.concat(F.lit("You help students with "), "names", F.lit(answers.system_prompt(["\x01"]).split("\x01")[1]))).alias("digest"))
