@@ -24,6 +24,7 @@ from __future__ import annotations
 import functools
 import re
 import unicodedata
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -63,18 +64,23 @@ def stem(word: str) -> str:
     return w if len(w) < 5 else w[:4] if len(w) == 5 else w[:5]
 
 
+@functools.lru_cache(300_000)
+def _forms(token: str) -> tuple[str, ...]:
+    """What a token within a sentence stands for."""
+    if token[0].isdigit() or "-" in token:
+        return ("#" + token.replace(",", "."),)
+    return ("@" + token.lower(), stem(token)) if token[0].isupper() and len(token) > 3 else (stem(token),)
+
+
 def tokens(sentence: str) -> list[str]:
-    """Stems; numbers and codes begin with '#', words that may be names with '@' as well as by their stem."""
-    out = []
-    for m in TOKEN.finditer(sentence):
-        t = m[0]
-        if t[0].isdigit() or "-" in t:
-            out.append("#" + t.replace(",", "."))
-        else:
-            if m.start() > 2 and t[0].isupper() and len(t) > 3:
-                out.append("@" + t.lower())
-            out.append(stem(t))
-    return list(dict.fromkeys(out))
+    """Stems; numbers and codes begin with '#', words that may be names with '@' as well as by their stem.
+
+    At the beginning of a sentence a capital letter says nothing.
+    """
+    found = TOKEN.findall(sentence)
+    early = sum(m.start() < 3 for m in islice(TOKEN.finditer(sentence), 3))
+    begin = [_forms(t)[-1] for t in found[:early]]
+    return list(dict.fromkeys([*begin, *chain.from_iterable(map(_forms, found[early:]))]))
 
 
 class Tables:
@@ -263,7 +269,9 @@ def bags(pages: DataFrame, fixer=None, left: str = "cs", right: str = "en") -> t
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
                 own = [sentences(t) for t in part.column(4).to_pylist()]
-                flat = consistent([fix.restored(s) if fix is not None and not s.isascii() else s for o in own for s in o])
+                if fix is not None:
+                    own = [[fix.restored(s) for s in o] if fix.suspect(t) else o for t, o in zip(part.column(4).to_pylist(), own)]
+                flat = consistent([s for o in own for s in o])
                 words, sizes, n = [], [], 0
                 for o in own:
                     rows = [tokens(s) for s in flat[n : n + len(o)]]
