@@ -54,14 +54,23 @@ def stem(x: Column | str) -> Column:
 TERM = r"(?<![\p{L}\p{N}_])(?!\p{Nd}{5,}+(?![\p{L}\p{N}_]))[\p{L}\p{N}_]++"
 
 
+def words(x: Column | str) -> Column:
+    """Folded words in order."""
+    return F.regexp_extract_all(F.translate(F.lower(c(x)), FOLD_FROM, FOLD_TO), F.lit(TERM), F.lit(0))
+
+
+def forms(word: Column) -> Column:
+    """A word, and its prefix if it is longer than that."""
+    return F.when(F.length(word) > STEM, F.array(word, stem(word))).otherwise(F.array(word))
+
+
 def tokenize(x: Column | str) -> Column:
     """Folded words in order, each followed by its prefix if it is longer than the prefix.
 
     Marks that stand alone part words, so folding single letters before the words are taken is the same as
     folding each word, and cheaper: one pass over the text.
     """
-    words = F.regexp_extract_all(F.translate(F.lower(c(x)), FOLD_FROM, FOLD_TO), F.lit(TERM), F.lit(0))
-    return F.flatten(F.transform(words, lambda w: F.when(F.length(w) > STEM, F.array(w, stem(w))).otherwise(F.array(w))))
+    return F.flatten(F.transform(words(x), forms))
 
 
 def guess_lang(x: Column | str) -> Column:

@@ -1,6 +1,6 @@
 """Lexical and vector index as ordinary tables.
 
-Layout: chunks (partitioned by language and edition), postings (term, id, tf) ranged by term, doc_len (id, dl),
+Layout: chunks (partitioned by language and edition), postings (term, id, tf, dl) ranged by term, doc_len (id, dl),
 term_stats (term, df), corpus_stats (one row) and vectors (id, embedding). Rows are joined by id, never by position.
 """
 
@@ -28,21 +28,29 @@ def token_rows(docs: DataFrame, key: str = "id", text: str = "text") -> DataFram
     return spread(docs.select(F.col(key), F.col(text))).select(F.col(key), X.tokenize(text).alias("tokens"))
 
 
-def postings(docs: DataFrame, key: str = "id", text: str = "text", only: DataFrame | None = None) -> DataFrame:
-    """term, key, tf. ``only`` (term) restricts it to some terms before anything is counted.
+def term_rows(docs: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
+    """key, term: a row per token. Words and their forms are taken apart as rows, which is compiled, and not as arrays of arrays."""
+    words = spread(docs.select(F.col(key), F.col(text))).select(key, F.explode(X.words(text)).alias("_word"))
+    return words.select(key, F.explode(X.forms(F.col("_word"))).alias("term"))
+
+
+def postings(docs: DataFrame, key: str = "id", text: str = "text", only: DataFrame | None = None, lengths: DataFrame | None = None) -> DataFrame:
+    """term, key, tf. ``only`` (term) restricts it to some terms before anything is counted; ``lengths`` (key, dl) adds the document's length.
 
     A document lies in one task, whose partial counts are complete: the shuffle moves one row per document
     and distinct term.
     """
-    tokens = token_rows(docs, key, text)
-    rows = tokens.select(key, F.explode("tokens").alias("term"))
+    rows = term_rows(docs, key, text)
     if only is not None:
         rows = rows.join(only.select("term").distinct(), "term", "left_semi")
-    return rows.groupBy("term", key).agg(F.count("*").alias("tf"))
+    counts = rows.groupBy("term", key).agg(F.count("*").alias("tf"))
+    return counts if lengths is None else counts.join(lengths, key)
 
 
 def doc_len(docs: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
-    return token_rows(docs, key, text).select(key, F.size("tokens").cast("long").alias("dl"))
+    """key, dl: tokens of every document, those without one included."""
+    words = spread(docs.select(F.col(key), F.col(text))).select(key, X.words(text).alias("w"))
+    return words.select(key, (F.size("w") + F.size(F.filter("w", lambda w: F.length(w) > X.STEM))).cast("long").alias("dl"))
 
 
 def term_stats(post: DataFrame) -> DataFrame:
@@ -65,10 +73,9 @@ class Tables:
 
 
 def tables(docs: DataFrame, keep: Callable[[DataFrame], DataFrame], key: str = "id", text: str = "text") -> Tables:
-    """Postings and statistics of ``docs`` (a key once); each is written by ``keep``, so that a text is read once."""
-    tokens = keep(token_rows(docs, key, text).select(key, "tokens"))
-    post = keep(tokens.select(key, F.explode("tokens").alias("term")).groupBy("term", key).agg(F.count("*").alias("tf")))
-    lengths = keep(tokens.select(key, F.size("tokens").cast("long").alias("dl")))
+    """Postings and statistics of ``docs`` (a key once), each written by ``keep``."""
+    lengths = keep(doc_len(docs, key, text))
+    post = keep(postings(docs, key, text, lengths=lengths))
     return Tables(post, lengths, keep(term_stats(post)), keep(corpus_stats(lengths)))
 
 
@@ -124,8 +131,9 @@ def build(chunks: DataFrame, embedder, path: str, books: list[str] | None = None
     spark = chunks.sparkSession
     chunks.write.mode("overwrite").partitionBy("lang", "edition").parquet(f"{path}/chunks")
     kept = spark.read.parquet(f"{path}/chunks")
-    postings(kept).repartitionByRange("term").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(f"{path}/postings")
     doc_len(kept).write.mode("overwrite").parquet(f"{path}/doc_len")
+    post = postings(kept, lengths=spark.read.parquet(f"{path}/doc_len"))
+    post.repartitionByRange("term").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(f"{path}/postings")
     term_stats(spark.read.parquet(f"{path}/postings")).write.mode("overwrite").parquet(f"{path}/term_stats")
     corpus_stats(spark.read.parquet(f"{path}/doc_len")).write.mode("overwrite").parquet(f"{path}/corpus_stats")
     embed(kept, embedder).write.mode("overwrite").parquet(f"{path}/vectors")

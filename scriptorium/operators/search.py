@@ -23,6 +23,8 @@ from scriptorium.session import cut, spread
 QUERY_BLOCK = 4096
 #: Parts that the postings of one term are split into when they meet the questions, so that a word of every document is no hot key.
 SALT = 16
+#: Rows that a side of a join may have to be broadcast, some 10 MB of question terms.
+SMALL = 100_000
 
 
 def mask(rows: DataFrame, lang: str | None = None, editions: tuple[str, ...] = ()) -> DataFrame:
@@ -47,19 +49,19 @@ def _blocks(rows: DataFrame, size: int, key: str) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            raw = batch.column(1).to_pylist()
-            by: dict[int, list[int]] = {}
-            for i, v in enumerate(raw):
-                by.setdefault(len(v), []).append(i)
-            for width, own in by.items():
+            column = batch.column(1)
+            begin, flat = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
+            widths = np.diff(begin)
+            for width in np.unique(widths).tolist():
+                own = np.flatnonzero(widths == width)
                 for at in range(0, len(own), size):
                     part = own[at : at + size]
-                    x = np.array([raw[i] for i in part], np.float64)
+                    x = flat[begin[part][:, None] + np.arange(width)]
                     n = np.linalg.norm(x, axis=1, keepdims=True)
                     good = np.isfinite(n[:, 0]) & (n[:, 0] > 0)
                     if good.any():
                         x = x[good] / (n[good] + V.EPSILON)
-                        keys = batch.column(0).take(pa.array(np.asarray(part)[good]))
+                        keys = batch.column(0).take(pa.array(part[good]))
                         yield pa.RecordBatch.from_arrays([pa.array([keys.to_pylist()], pa.list_(keys.type)), pa.array([width], pa.int32()), pa.array([x.tobytes()], pa.binary())], names=["keys", "width", "m"])
 
     return rows.mapInArrow(run, T.StructType([T.StructField("keys", T.ArrayType(kind)), T.StructField("width", T.IntegerType()), T.StructField("m", T.BinaryType())]))
@@ -119,21 +121,35 @@ def question_terms(questions: DataFrame, text: str = "q") -> DataFrame:
     return questions.select("qid", F.explode(X.tokenize(text)).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("times"))
 
 
-def bm25_scores(post: DataFrame, lengths: DataFrame, stats: DataFrame, terms: DataFrame, key: str = "id", limits: Limits = LIMITS, df: DataFrame | None = None, salt: int = SALT) -> DataFrame:
+def small(rows: DataFrame, most: int) -> tuple[DataFrame, bool]:
+    """``rows``, computed once, and whether they are ``most`` at most."""
+    kept = cut(rows)
+    return kept, kept.limit(most + 1).count() <= most
+
+
+def bm25_scores(post: DataFrame, lengths: DataFrame, stats: DataFrame, terms: DataFrame, key: str = "id", limits: Limits = LIMITS, df: DataFrame | None = None, salt: int = SALT, most: int = SMALL) -> DataFrame:
     """qid, id, score of every document that shares a term with the question.
 
     idf and mean length are those of the whole corpus, whatever is masked later. ``df`` (term, df) is the
-    index's table of document counts; without it they are counted from the postings.
+    index's table of document counts; without it they are counted from the postings. Postings that carry dl
+    need no join with ``lengths``. The questions' terms are counted: up to ``most`` go to the postings, which
+    then stay where they are; more are met by a shuffle in which a term's postings are salted.
     """
     counts = df if df is not None else post.groupBy("term").agg(F.count("*").alias("df"))
     n, avgdl = F.col("n").cast("double"), F.col("avgdl")
-    weighed = terms.join(counts, "term").crossJoin(F.broadcast(stats))  # one row
+    asked, few = small(terms, most)
+    counted = F.broadcast(asked).join(counts, "term") if few else asked.join(counts, "term")
+    weighed = counted.crossJoin(F.broadcast(stats))  # one row
     weighed = weighed.select("qid", "term", "avgdl", (F.col("times") * F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))).alias("w"))
-    weighed = weighed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
-    salted = post.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(salt)).cast("int"))
     tf = F.col("tf").cast("double")
     part = F.col("w") * tf / (tf + limits.k1 * (1 - limits.b + limits.b * F.col("dl") / avgdl))
-    return weighed.join(salted, ["term", "_salt"]).join(lengths, key).groupBy("qid", F.col(key).alias("id")).agg(F.sum(part).alias("score"))
+    if few:
+        met = post.join(F.broadcast(weighed), "term")  # as many rows as the terms
+    else:
+        weighed = weighed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
+        met = weighed.join(post.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(salt)).cast("int")), ["term", "_salt"])
+    full = met if "dl" in post.columns else met.join(lengths, key)
+    return full.groupBy("qid", F.col(key).alias("id")).agg(F.sum(part).alias("score"))
 
 
 def bm25_search(scores: DataFrame, n_docs: int | None, k: int, allowed: DataFrame | None = None) -> DataFrame:

@@ -86,7 +86,7 @@ def terms(key: str, text: str, source: str, name: str = "") -> str:
 
 @query(f"WITH {terms('doc_id', 'text', 'documents')} SELECT term, count(*) AS n FROM terms GROUP BY term")
 def tokenize_terms(spark, sf_dir):
-    return index.token_rows(table(spark, sf_dir, "documents"), "doc_id").select(F.explode("tokens").alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    return index.term_rows(table(spark, sf_dir, "documents"), "doc_id").groupBy("term").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {terms('doc_id', 'text', 'documents')} SELECT term, doc_id, count(*) AS tf FROM terms GROUP BY term, doc_id")
@@ -284,18 +284,29 @@ def questions_(spark, sf_dir) -> DataFrame:
 
 
 _BUILT: dict[tuple, index.Tables] = {}
+_VECTORS: dict[tuple, DataFrame] = {}
 
 
 def index_(spark, sf_dir) -> index.Tables:
     """The lexical index of the chunks, built once for a state of the table and a session, as an engine's is."""
+    return _once(_BUILT, spark, sf_dir, lambda: index.tables(chunks_(spark, sf_dir, "text"), cut))
+
+
+def vectors_(spark, sf_dir) -> DataFrame:
+    """The dense index of the chunks, their hashed bags of words, in the same way."""
+    return _once(_VECTORS, spark, sf_dir, lambda: cut(hashed_(index_(spark, sf_dir).postings, "id")))
+
+
+def _once(made: dict, spark, sf_dir, make):
+    """What ``make`` gives for the chunks of a folder, until they change or the session ends."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/chunks.parquet")
     changed = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).getModificationTime()
     key = (spark.sparkContext.applicationId, sf_dir, changed)
-    if key not in _BUILT:
-        for old in [k for k in _BUILT if k[:2] == key[:2] or k[0] != key[0]]:
-            del _BUILT[old]
-        _BUILT[key] = index.tables(chunks_(spark, sf_dir, "text"), cut)
-    return _BUILT[key]
+    if key not in made:
+        for old in [k for k in made if k[:2] == key[:2] or k[0] != key[0]]:
+            del made[old]
+        made[key] = make()
+    return made[key]
 
 
 def lexical_(spark, sf_dir, questions: DataFrame) -> DataFrame:
@@ -372,7 +383,7 @@ def asked_(questions: DataFrame) -> DataFrame:
 
 
 def dense_bow_(spark, sf_dir, questions: DataFrame, k: int) -> DataFrame:
-    return search.dense_search(hashed_(index_(spark, sf_dir).postings, "id"), asked_(questions), k)
+    return search.dense_search(vectors_(spark, sf_dir), asked_(questions), k)
 
 
 BOW = """
@@ -424,7 +435,7 @@ def hybrid_topk(spark, sf_dir):
     """The main search path: both sides masked, fused, reranked, cut and without neighbours."""
     t, q = index_(spark, sf_dir), questions_(spark, sf_dir)
     chunks = table(spark, sf_dir, "chunks").drop("images").distinct()
-    hits = search.hybrid(q, chunks, t.postings, t.doc_len, t.corpus_stats, hashed_(t.postings, "id"), asked_(q), "cs", ("full",), 10, rerankers.overlap, df=t.term_stats)
+    hits = search.hybrid(q, chunks, t.postings, t.doc_len, t.corpus_stats, vectors_(spark, sf_dir), asked_(q), "cs", ("full",), 10, rerankers.overlap, df=t.term_stats)
     return hits.select("qid", "n", "id")
 
 
