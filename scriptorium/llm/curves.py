@@ -163,10 +163,19 @@ def compare(ids: np.ndarray, own: np.ndarray, x: np.ndarray, begin: int, end: in
         lo, hi = max(0, a - window), min(len(ids), b + window)
         s = x[mine] @ x[lo:hi].T
         s[np.arange(len(mine)), mine - lo] = -3
-        best = _top(s, ids[lo:hi], k)
-        got = np.take_along_axis(s, best, 1)
-        r, c = np.nonzero((got > -2.5) & (got >= least))
-        yield pa.RecordBatch.from_arrays([pa.array(ids[mine[r]]), pa.array(ids[lo + best[r, c]]), pa.array(got[r, c].astype(np.float32))], names=["id", "other", "s"])
+        if least > 0:  # few are as similar: those alone are ordered
+            r, c = np.nonzero(s >= least)
+            near = s[r, c]
+            order = np.lexsort((ids[lo + c], -np.round(near.astype(np.float64), 5), r))
+            r, c, near = r[order], c[order], near[order]
+            kept = np.arange(len(r)) - np.searchsorted(r, r) < k
+            r, c, near = r[kept], c[kept], near[kept]
+        else:
+            best = _top(s, ids[lo:hi], k)
+            got = np.take_along_axis(s, best, 1)
+            r, c = np.nonzero((got > -2.5) & (got >= least))
+            c, near = best[r, c], got[r, c]
+        yield pa.RecordBatch.from_arrays([pa.array(ids[mine[r]]), pa.array(ids[lo + c]), pa.array(near.astype(np.float32))], names=["id", "other", "s"])
 
 
 def windows(batches, k: int, window: int, least: float):

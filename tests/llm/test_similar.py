@@ -160,6 +160,9 @@ def test_pieces_of_a_range_cut_no_window(monkeypatch):
         c = 0 if (0, i) in at else 1
         assert abs(at[c, i] - at[c, o]) <= window and own[at[c, i]]
     assert len(want) == own.sum() * k
+    least = 0.3
+    full = {(i, o): s for b in curves.windows([whole], k, window, -2.0) for i, o, s in zip(*(b.column(j).to_pylist() for j in range(3)))}
+    assert rows(curves.windows([whole], k, window, least)) == sorted(p for p, s in full.items() if s >= least)
 
 
 def test_recall_against_the_exact_way(spark):
