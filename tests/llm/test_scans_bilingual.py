@@ -1,6 +1,7 @@
 import os
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -128,3 +129,51 @@ def test_first_part_of_a_compound_counts_at_every_size(n):
     for left, first in (("W3", True), ("w3-part", True), ("w", False), ("part", False)):
         reader.join(left, "-", "other", False)
         assert f"first={first},0" in reader.joiner.features
+
+
+def made_side(rng, pairs):
+    words, sizes = [], []
+    for _ in range(pairs):
+        texts = [rng.sample(range(2, 60), rng.randint(0, 7)) for _ in range(rng.randint(0, 9))]
+        words.append(np.array([w for t in texts for w in t], np.int64).tobytes())
+        sizes.append(np.array([len(t) for t in texts], np.int32).tobytes())
+    return bilingual.Side(words, sizes)
+
+
+@pytest.mark.parametrize("held", [1, 7, 10**6])
+def test_retrieval_against_all_pairs(monkeypatch, held):
+    """Shares of bags from lookups against a comparison of every word with every word."""
+    monkeypatch.setattr(bilingual, "HELD", held)
+    rng = random.Random(held)
+    for _ in range(12):
+        links = {(u, v): rng.random() for u in range(2, 60, 2) for v in rng.sample(range(2, 60, 2), 3)}
+        u, v = (np.array([k[i] for k in links], np.int64) for i in (0, 1))
+        weights = [{w: rng.uniform(0.3, 4) for w in rng.sample(range(2, 60, 2), 20)} for _ in range(2)]
+        tables = bilingual.Tables(u, v, np.array(list(links.values())), *weights)
+        a, b = made_side(rng, 6), made_side(rng, 6)
+        key, ab, ba = bilingual.retrieve(a, b, tables, 0.0, 9.0)
+        got = {(int(k // len(b.size)), int(k % len(b.size))): (x, y) for k, x, y in zip(key, ab, ba)} if len(b.size) else {}
+        own = lambda side, i: side.word[side.first[i] : side.first[i] + side.size[i]].tolist()
+        weigh = lambda w, side: 3.0 if w & 1 else weights[side].get(w, 1.5)
+        link = lambda x, y: 1.0 if x == y and x & 1 else links.get((x, y), 0.0)
+        for i in range(len(a.size)):
+            for j in range(len(b.size)):
+                x, y = own(a, i), own(b, j)
+                share = sum(weigh(t, 0) * max(link(t, s) for s in y) for t in x) / sum(weigh(t, 0) for t in x)
+                back = sum(weigh(s, 1) * max(link(t, s) for t in x) for s in y) / sum(weigh(s, 1) for s in y)
+                if a.pair[i] != b.pair[j] or not share:
+                    assert (i, j) not in got
+                else:
+                    assert np.allclose(got[i, j], (share, back), atol=1e-5)
+
+
+def test_sections_are_joined_in_blocks(spark):
+    rows = [(f"{g}{i}", "v1", "1.1", g, b"", b"") for g in ("cs", "en") for i in range(150)] + [("x", "v1", "1.2", "cs", b"", b""), ("y", "v2", "1.1", "en", b"", b"")]
+    texts = spark.createDataFrame(rows, "text_id string, volume string, section string, lang string, words binary, sizes binary")
+    got = [(r.left_id, r.right_id) for r in bilingual.counterparts(texts).collect()]
+    assert len(got) == 150 * 150 == len(set(got)) and all(a.startswith("cs") and b.startswith("en") for a, b in got)
+
+
+def test_one_form_of_many_rows():
+    rows = ["plain", "s​kryté", "č", "", "ｗｉｄｅ", "ž" * 3]
+    assert bilingual.consistent(rows) == ["plain", "skryté", "č", "", "wide", "ž" * 3] and bilingual.consistent([]) == []
