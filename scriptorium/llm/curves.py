@@ -232,8 +232,9 @@ def neighbours(vectors: DataFrame, key: str = "vec_id", embedding: str = "embedd
     # A range to a task, by its number: hashes of the numbers would put several into one.
     sorted_ = all_.repartitionById(parts, "part").sortWithinPartitions("part", "curve", "key", "id")
     found = sorted_.mapInArrow(lambda batches: windows(batches, k, window, least), "id long, other long, s float")
-    # What one side finds, the other side gets as well.
-    near = _ranked(found.unionByName(found.select(F.col("other").alias("id"), F.col("id").alias("other"), "s")), k)
+    # What one side finds, the other side gets as well; row by row, since a union would make the windows twice.
+    pair = F.array(F.struct("id", "other", "s"), F.struct(F.col("other").alias("id"), F.col("id").alias("other"), "s"))
+    near = _ranked(found.select(F.explode(pair).alias("pair")).select("pair.*"), k)
     for _ in range(rounds):
         near = cut(near)
         near = _ranked(near.select("id", "other", "s").unionByName(_exchange(near, unit, k, least, parts)), k)
