@@ -1,3 +1,4 @@
+import os
 import unicodedata
 
 import pytest
@@ -140,3 +141,28 @@ def test_unified_covers_pages_and_chunks(spark, tmp_path):
     got = {(r.rec, r.rec_key): (r.sha1, r.n_chars) for r in queries.p3_unified(spark, str(tmp_path)).collect()}
     want = {("page", "1"): "plain", ("page", "2"): None, ("chunk", "c1"): "Wide › x\n\nbody", ("chunk", "c2"): "ok"}
     assert got == {k: (t and hashlib.sha1(t.encode()).hexdigest(), t and len(t)) for k, t in want.items()}
+
+
+DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_whole_texts_are_given_back(spark):
+    """Sound Czech pages put through wrong decodings: how many come back whole."""
+    pages = spark.read.parquet(f"{DATA}/pages.parquet")
+    fixer = encodings.train(pages)
+    texts = [r.text for r in pages.where(F.col("text").rlike(encodings.CLEAN) & (F.col("lang") == "cs") & (F.col("content_type") == "text/html")).select("text").distinct().orderBy("text").limit(60).collect()]
+    assert len(texts) > 3 and not any(map(fixer.garbled, texts))
+    for x, y in (*CHAINS, ("cp1250", "latin_1"), ("cp1250", "mac_roman"), ("iso8859_2", "latin_1"), ("cp852", "cp1252"), ("utf-8", "mac_roman")):
+        want = [t.encode(x, "ignore").decode(x) for t in texts]
+        back = [fixer.restored(wrong(t, x, y)) for t in texts]
+        assert sum(a == b for a, b in zip(back, want)) >= 0.85 * len(texts), (x, y)
+    half = texts[0] + "\n" + wrong(texts[1], "cp852", "cp1250") + "\n" + texts[2]
+    assert fixer.restored(half).split("\n")[0] == texts[0].split("\n")[0] and fixer.restored(half).endswith(texts[2])
+
+
+def test_chains_by_name():
+    for x, y in CHAINS:
+        assert encodings.read_through(f"{x if x != 'utf-8' else 'utf-8'}<{y}", wrong("šířka", x, y)) == "šířka"
+    twice = wrong(wrong("šířka", "utf-8", "cp1252"), "utf-8", "cp1250")
+    assert encodings.read_through("utf-8<cp1252<cp1250", twice) == "šířka" and encodings.read_through("utf-8<cp1250", "řeka") is None
