@@ -142,7 +142,7 @@ def _weights(side: tuple[np.ndarray, np.ndarray], words: np.ndarray) -> np.ndarr
 
 def _sums(key: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     keys, inverse = np.unique(key, return_inverse=True)
-    return keys, np.bincount(inverse, value, len(keys))
+    return keys, np.bincount(inverse, value, len(keys)).astype(np.float64)  # of nothing it gives whole numbers
 
 
 def _greatest(key: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -63,6 +63,31 @@ def test_every_operation_on_fresh_misreadings(spark):
     assert not any(reader.fix(w) for w in ("B25", "12m", "xiv", "M16", "45kN", "SPAN"))
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+def test_words_of_a_repaired_page(spark):
+    """Sound pages made into scans with misread words, and repaired: how many of the words come back in order."""
+    import difflib
+    import re
+
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    reader, rng, n, hit = scans.train(pages), random.Random(4), 0, 0
+    for r in pages.where(F.col("content_type") == "text/html").where(F.col("text").rlike("^[\\x00-\\x7f]*$")).select("text").distinct().orderBy("text").limit(50).collect():
+        parts = [p.strip() for p in re.split(r"\s*\n\s*\n\s*", r.text) if len(p) > 40][:5]
+        if not parts:
+            continue
+        lines, kinds, book, title = scans.made_page(parts, ["Name of a Book", "Chapter one: Concrete"], rng)
+        for i, k in enumerate(kinds):
+            words = lines[i].split(" ")
+            if k == "body" and len(words) > 2 and rng.random() < 0.2:
+                at = rng.randrange(1, len(words) - 1)
+                got = scans.misread(words[at], rng)
+                lines[i] = " ".join([*words[:at], got[0] if got else words[at], *words[at + 1 :]])
+        want, got = " ".join(parts).split(), reader.repaired("\n".join(lines), book, title).split()
+        n += len(want)
+        hit += sum(b.size for b in difflib.SequenceMatcher(None, want, got, autojunk=False).get_matching_blocks())
+    assert n > 1000 and hit / n > 0.98
+
+
 def test_one_long_line_loses_no_page(reader):
     text = "ŠIROKÝ KROV\n\n" + "\n".join(["Střecha podpírá krov během zimy do dvanácti dnů.", "Kotva zakrývá 0mítka po celé"] * 8) + "\n" + "odstavec bez zalomení " * 6 + "\n— 13 —"
     got = reader.noisy(text, "Široký krov", "")
