@@ -21,6 +21,7 @@ stays as it is; repeated rows give equal results.
 
 from __future__ import annotations
 
+import functools
 import random
 import re
 from collections import Counter, defaultdict
@@ -114,13 +115,25 @@ class Perceptron:
 # --- lines
 
 
-def overlap(line: str, name: str) -> int:
-    """0 to 3: how much of a line's letters a title holds, by pairs of letters."""
-    a, b = re.sub(r"[\W\d_]", "", line).lower(), re.sub(r"[\W\d_]", "", name).lower()
-    if len(a) < 4 or not b:
+NO_LETTER = re.compile(r"[\W\d_]+")
+
+
+def letter_pairs(text: str) -> dict[tuple[str, str], int]:
+    """Counts of the pairs of letters of a text."""
+    letters = NO_LETTER.sub("", text).lower()
+    return Counter(zip(letters, letters[1:]))
+
+
+#: Of names, which come up again for every line of a page.
+name_pairs = functools.lru_cache(4096)(letter_pairs)
+
+
+def overlap(line: dict[tuple[str, str], int], name: dict[tuple[str, str], int]) -> int:
+    """0 to 3: how much of a line's letters a title holds, by pairs of letters; 0 for fewer than four letters."""
+    total = sum(line.values())
+    if total < 3 or not name:
         return 0
-    x, y = Counter(zip(a, a[1:])), Counter(zip(b, b[1:]))
-    share = sum((x & y).values()) / max(1, sum(x.values()))
+    share = sum(n if n < name[k] else name[k] for k, n in line.items() if k in name) / total
     return 3 if share > 0.85 else 2 if share > 0.7 else 1 if share > 0.5 else 0
 
 
@@ -160,7 +173,8 @@ def line_features(lines: list[str], order: list[int], r: int, width: int, book:
     near = "".join("n" if 0 <= r + d < len(order) and NUMBER.match(lines[order[r + d]].strip()) else "-" for d in (-1, 1))
     follow = lines[order[r + 1]].strip()[:1] if r + 1 < len(order) else ""
     next_ = "C" if follow.isupper() else "l" if follow.islower() else "d" if follow.isdigit() else "x"
-    named = max(overlap(s, book), overlap(s, title))
+    pairs = letter_pairs(s)
+    named = max(overlap(pairs, name_pairs(book)), overlap(pairs, name_pairs(title)))
     place = f"t{top}" if top < 3 else f"b{bottom}" if bottom < 3 else "m"
     edge = "e" if place != "m" else "m"
     return [
