@@ -59,14 +59,16 @@ def letters(sentence: str) -> bytes:
 
 def shares(words: list[bytes]) -> list[list[bytes]]:
     """A sentence's words in windows of SPAN at most that fit into LENGTH bytes, of equal shares, so that no window is a stub."""
-    words = [w[at : at + LONGEST] for w in words for at in range(0, len(w), LONGEST)]
-    sizes = [len(w) + 2 + len(GAP) for w in words]
+    longest = max(map(len, words), default=0)
+    if longest > LONGEST:
+        words = [w[at : at + LONGEST] for w in words for at in range(0, len(w), LONGEST)]
     n = max(1, -(-len(words) // SPAN))
-    while True:
-        edges = [len(words) * k // n for k in range(n + 1)]
-        if n >= len(words) or all(sum(sizes[a:b]) + len(GAP) <= LENGTH for a, b in zip(edges, edges[1:])):
-            return [words[a:b] for a, b in zip(edges, edges[1:])]
-        n += 1
+    if SPAN * (longest + 2 + len(GAP)) + len(GAP) > LENGTH:  # else any SPAN of them fit
+        sizes = [len(w) + 2 + len(GAP) for w in words]
+        fits = lambda n: all(sum(sizes[len(words) * k // n : len(words) * (k + 1) // n]) + len(GAP) <= LENGTH for k in range(n))
+        while n < len(words) and not fits(n):
+            n += 1
+    return [words[len(words) * k // n : len(words) * (k + 1) // n] for k in range(n)]
 
 
 def windows(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
