@@ -129,7 +129,7 @@ class Service:
     def admit(self, header: str, asked: dict[str, str]) -> None:
         given = bearer(header)
         if self.token and not hmac.compare_digest((asked.get("token", "") if given is None else given).encode(), self.token.encode()):
-            raise Refused(401, "missing or invalid token", {"WWW-Authenticate": "Bearer"})
+            raise Refused(401, "this needs a valid token", {"WWW-Authenticate": "Bearer"})
 
     def engine(self, name: str | None) -> Engine:
         return self.engines.get(self.default if name is None else name)
