@@ -284,6 +284,9 @@ def bags(pages: DataFrame, fixer=None, left: str = "cs", right: str = "en") -> t
                     ids.clear()
                 yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(words, pa.binary()), pa.array(sizes, pa.binary())], names=["text_id", "volume", "section", "lang", "words", "sizes"])
 
+    # Only texts that have a counterpart are read.
+    both = own.select("volume", "section", "lang").distinct().groupBy("volume", "section").agg(F.count("*").alias("langs")).where("langs = 2")
+    own = own.join(both.select("volume", "section"), ["volume", "section"], "left_semi")
     texts = own.select("text_id", "volume", "section", "lang", "text").dropDuplicates(["text_id"])
     return cut(spread(texts).mapInArrow(run, "text_id string, volume string, section string, lang string, words binary, sizes binary")), own.select("text_id", "page_id").distinct()
 
