@@ -235,3 +235,46 @@ def test_no_size_is_missed_at_the_bound():
     bands = parity.similar_classes.__defaults__
     bands = parity.Bands(0.5, bands[2], bands[3])
     assert max(bands.miss(a, b) for a in (*range(parity.TINY + 1, 200), *range(200, 4000, 37)) for b in {a, a * 5 // 4, a * 8 // 5, a * 19 // 10, 2 * a}) < 1e-4
+
+
+def test_passes_meet_the_same_pairs(spark, monkeypatch):
+    """Every part belongs to one pass, of about equal shares, and passes and slices give what all parts at once give."""
+    rows = texts()
+    df = spark.createDataFrame(rows, "k long, t string")
+    sets = parity._sets(df, "k", "t", 3).where("hashes IS NOT NULL").withColumnRenamed("key", "k")
+    bands = parity.Bands(0.5, 128, 2.35)
+    digest = lambda d: d.agg(F.count("*"), F.sum(F.xxhash64(*d.columns).cast("decimal(38,0)"))).first()
+    whole, each = digest(parity._part_keys(sets, bands)), [digest(parity._part_keys(sets, bands, at, 8)) for at in range(8)]
+    assert sum(x[0] for x in each) == whole[0] and sum(x[1] for x in each) == whole[1]
+    assert max(x[0] for x in each) < 0.2 * whole[0]
+    pairs = lambda: sorted(map(tuple, parity.similar_pairs(df, "k", "t", 0.5, 3).distinct().collect()))
+    want = pairs()
+    monkeypatch.setattr(parity, "PASS", 1000)
+    assert pairs() == want and len(want) > 100
+
+
+def test_files_of_a_step_go_with_it(spark, monkeypatch, tmp_path):
+    """Beside one copy of the sets no more lies on disk than a step makes: shuffle files go after each, sets and parts at the end."""
+    import os
+    import time
+
+    files = lambda: [f for f in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n") if "/shuffle_" in f]
+    rng = random.Random(2)
+    df = spark.createDataFrame([(i, " ".join(rng.choices(WORDS, k=150))) for i in range(300)], "k long, t string")
+    monkeypatch.setattr(parity, "PASS", 1000)
+    old, left, cut, made = set(files()), [], parity.cut, []
+
+    def watched(d, **how):
+        out = cut(d, **how)
+        made.append(out._jdf.queryExecution().analyzed().rdd().getCheckpointFile().get().removeprefix("file:"))
+        until = time.time() + 5
+        rest = lambda: sum(os.path.getsize(f) for f in set(files()) - old if os.path.exists(f))
+        while rest() > 20_000 and time.time() < until:  # counts and sums leave a few bytes
+            time.sleep(0.05)
+        left.append(rest())
+        return out
+
+    monkeypatch.setattr(parity, "cut", watched)
+    parity.similar_classes(df, "k", "t", 0.5, 3)
+    assert len(left) > 20 and max(left) <= 20_000, left
+    assert not os.path.exists(made[0]) and sum(map(os.path.exists, made)) < len(made) - 8
