@@ -166,3 +166,24 @@ def test_chains_by_name():
         assert encodings.read_through(f"{x if x != 'utf-8' else 'utf-8'}<{y}", wrong("šířka", x, y)) == "šířka"
     twice = wrong(wrong("šířka", "utf-8", "cp1252"), "utf-8", "cp1250")
     assert encodings.read_through("utf-8<cp1252<cp1250", twice) == "šířka" and encodings.read_through("utf-8<cp1250", "řeka") is None
+
+
+def test_thresholds_come_from_all_words(spark):
+    """Margins against all clean words by brute force, where the frequent ones alone give others; no n-gram is left out."""
+    import inspect
+    import random
+
+    rng = random.Random(3)
+    often = [f"kůň{a}{b}" for a in "abcdefghijklmnoprstuvyz" for b in "aábcčdďeéěfghiíjklmnňoóprřsštťuúůvyýzž"][:820]
+    seldom = ["".join(rng.choices("áčďéěíňóřšťúůýžbdkmps", k=8)) for _ in range(900)] + ["".join(rng.choices("qwxzvkjh", k=7)) for _ in range(300)]
+    rows = [(i, " ".join(often), "t") for i in range(4)] + [(10, " ".join(seldom), "t")]
+    fixer = encodings.train(spark.createDataFrame(rows, "page_id long, text string, title string"))
+    model = encodings.Repairer(fixer.model)
+    words = {**{w: 4 for w in often}, **{w: 1 for w in seldom}}
+    filled = sorted(model.fill("".join(c if c.isascii() else "?" for c in w)) / len(w) for w in words if not w.isascii())
+    assert filled[len(filled) // 50] < -2.7 and abs(fixer.filled - filled[len(filled) // 50]) < 2e-3
+    gains = lambda of: sorted(g for w, n in words.items() for g in of(model, w) for _ in range(n))
+    alarms, caught = gains(encodings._alarms), sorted(g for w, n in words.items() if not w.isascii() for g in encodings._caught(model, w) for _ in range(n))
+    want = max(6.0, min(alarms[int(len(alarms) * 0.98)] + 1.0, 0.8 * caught[len(caught) // 20]))
+    assert abs(fixer.margin - want) < 2e-3
+    assert fixer.model.counts == encodings.ngrams_of({**words, "t": 5}) and inspect.signature(encodings.train).parameters["ngrams"].default is None
