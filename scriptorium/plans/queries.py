@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from scriptorium.functions import text as X
 from scriptorium.functions import urls as U
 from scriptorium.functions import vectors as V
-from scriptorium.operators import answers, chunking, corpus, index, rerankers, search
+from scriptorium.operators import answers, batches, chunking, corpus, index, rerankers, search
 from scriptorium.session import cut, shared_folder, table
 from scriptorium.sources import books, html, records, web
 
@@ -483,7 +483,7 @@ g AS (SELECT qid, max((ok AND rank = 0)::INT) AS c1, max(ok::INT) AS ck, max((wa
 SELECT count(*) AS total, coalesce(sum(c1), 0)::BIGINT AS chapter_1, coalesce(sum(ck), 0)::BIGINT AS chapter_k, coalesce(sum(has), 0)::BIGINT AS sec_total, coalesce(sum(s1), 0)::BIGINT AS sec_1, coalesce(sum(s3), 0)::BIGINT AS sec_3 FROM g""")
 def hit_at_k_chapter(spark, sf_dir):
     own = pages_(spark, sf_dir).where("page_id % 100 = 0 AND chapter IS NOT NULL").select(F.col("page_id").alias("qid"), F.col("title").alias("q"), "chapter", "section").distinct()
-    top = search.bm25_search(lexical_(spark, sf_dir, own.select("qid", "q")), None, 10).join(chunks_(spark, sf_dir, "chapter", "section"), "id")
+    top = batches.bm25_many(table(spark, sf_dir, "chunks"), own.select("qid", "q").distinct(), 10).join(chunks_(spark, sf_dir, "chapter", "section"), "id")
     expected = own.select("qid", "chapter", F.when(F.col("section").isNotNull(), F.array("section")).alias("sections"))
     return corpus.hit_rates(top, expected, 10)
 
