@@ -158,17 +158,17 @@ class _Held:
     def postings(self, i: int) -> slice:
         return slice(self.begin[i], self.begin[i + 1])
 
-    def exact(self, docs: np.ndarray, full: list, rare: list) -> np.ndarray:
-        """Scores of some documents in full precision."""
+    def exact(self, docs: np.ndarray, question: list) -> np.ndarray:
+        """Scores of some documents in full precision, added up in one order in all blocks, so that equal documents are equal."""
         damp, out = self.damp[docs], np.zeros(len(docs))
-        for r, times in full:
-            n = self.counts[self.row[r], docs].astype(np.float64)
-            out += times * self.idf[r] * n / (n + damp)
-        for r, times in rare:
-            own = self.postings(self.place[r])
-            where, n = self.at[own], self.tf[own]
-            i = np.minimum(np.searchsorted(where, docs), len(where) - 1)
-            n = np.where(where[i] == docs, n[i], 0.0)
+        for r, times in question:
+            if self.row[r] >= 0:
+                n = self.counts[self.row[r], docs].astype(np.float64)
+            else:
+                own = self.postings(self.place[r])
+                where, n = self.at[own], self.tf[own]
+                i = np.minimum(np.searchsorted(where, docs), len(where) - 1)
+                n = np.where(where[i] == docs, n[i], 0.0)
             out += times * self.idf[r] * n / (n + damp)
         return out
 
@@ -217,7 +217,7 @@ def _met(held: _Held, questions: list, top: np.ndarray, k: int) -> Iterator[tupl
             docs = np.flatnonzero(s >= bound if bound > 0 else s > 0)
         if not len(docs):
             continue
-        scores = held.exact(docs, full, rare)
+        scores = held.exact(docs, own)
         order = np.argsort(-np.round(scores, 9), kind="stable")[:k]  # places are in the order of the ids
         docs, scores = docs[order], scores[order]
         top[number] = np.sort(np.concatenate([top[number], scores]))[-k:]

@@ -274,7 +274,7 @@ SELECT DISTINCT substr(sha1(url || '#' || ordinal::VARCHAR), 1, 16) AS id, url A
  sha1(body) AS body, n_images FROM chunk JOIN p USING (page_id)""".strip()
 
 
-# --- search; the clean sentences are the questions, every title of a hundredth page is an evaluation question
+# --- search; the clean sentences are the questions, the title of every page with a chapter is an evaluation question
 def chunks_(spark, sf_dir, *columns: str) -> DataFrame:
     return table(spark, sf_dir, "chunks").select("id", *columns).distinct()
 
@@ -473,16 +473,16 @@ def neighbour_dedupe(spark, sf_dir):
     return search.dedupe_neighbours(top.join(chunks_(spark, sf_dir, "page_url", "ordinal", "body"), "id"), "rank").select("qid", "n", "id")
 
 
-TITLES = "SELECT page_id AS qid, title AS q FROM (SELECT DISTINCT page_id, title FROM pages WHERE page_id % 100 = 0 AND chapter IS NOT NULL)"
+TITLES = "SELECT page_id AS qid, title AS q FROM (SELECT DISTINCT page_id, title FROM pages WHERE chapter IS NOT NULL)"
 
 
 @query(f"""
-WITH {bm25_sql(TITLES).strip()}, top AS ({ranked('s', 10)}), e AS (SELECT DISTINCT page_id AS qid, chapter, section FROM pages WHERE page_id % 100 = 0 AND chapter IS NOT NULL),
+WITH {bm25_sql(TITLES).strip()}, top AS ({ranked('s', 10)}), e AS (SELECT DISTINCT page_id AS qid, chapter, section FROM pages WHERE chapter IS NOT NULL),
 j AS (SELECT e.qid, e.section AS want, coalesce(c.chapter = e.chapter, false) AS ok, coalesce(c.section = e.section, false) AS sec, top.rank FROM e LEFT JOIN top USING (qid) LEFT JOIN (SELECT DISTINCT id, chapter, section FROM chunks) c USING (id)),
 g AS (SELECT qid, max((ok AND rank = 0)::INT) AS c1, max(ok::INT) AS ck, max((want IS NOT NULL)::INT) AS has, max((sec AND rank = 0)::INT) AS s1, max((sec AND rank < 3)::INT) AS s3 FROM j GROUP BY qid)
 SELECT count(*) AS total, coalesce(sum(c1), 0)::BIGINT AS chapter_1, coalesce(sum(ck), 0)::BIGINT AS chapter_k, coalesce(sum(has), 0)::BIGINT AS sec_total, coalesce(sum(s1), 0)::BIGINT AS sec_1, coalesce(sum(s3), 0)::BIGINT AS sec_3 FROM g""")
 def hit_at_k_chapter(spark, sf_dir):
-    own = pages_(spark, sf_dir).where("page_id % 100 = 0 AND chapter IS NOT NULL").select(F.col("page_id").alias("qid"), F.col("title").alias("q"), "chapter", "section").distinct()
+    own = pages_(spark, sf_dir).where("chapter IS NOT NULL").select(F.col("page_id").alias("qid"), F.col("title").alias("q"), "chapter", "section").distinct()
     top = batches.bm25_many(table(spark, sf_dir, "chunks"), own.select("qid", "q").distinct(), 10).join(chunks_(spark, sf_dir, "chapter", "section"), "id")
     expected = own.select("qid", "chapter", F.when(F.col("section").isNotNull(), F.array("section")).alias("sections"))
     return corpus.hit_rates(top, expected, 10)

@@ -52,3 +52,8 @@ def test_hit_rates_without_the_index_of_all_words(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(queries, "index_", None)
     want = chapters(spark, tmp_path, 100)
     assert tuple(queries.hit_at_k_chapter(spark, str(tmp_path)).first()) == want
+
+
+def test_hit_rates_of_every_page(spark, tmp_path):
+    want = chapters(spark, tmp_path, 1)
+    assert tuple(queries.hit_at_k_chapter(spark, str(tmp_path)).first()) == want
