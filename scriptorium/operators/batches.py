@@ -22,14 +22,14 @@ from scriptorium.model import LIMITS, Limits
 from scriptorium.operators.search import T_arrow, best
 from scriptorium.session import cut, spread
 
-#: Documents of a block at most (a place in a block takes two bytes) and those that a partition is made for; questions of a block at most.
+#: Documents of a block at most and those that a partition is made for; questions of a block at most.
 BLOCK, FILL, QUESTIONS = 65_536, 50_000, 16_384
 #: Blocks of documents that a task goes through with the same questions.
-ROUND = 8
+ROUND = 2
 #: A term of so large a part of a block has its values there as a full row.
 FULL = 1 / 16
 #: Groups of documents whose largest scores bound the k-th best from below.
-GROUPS = 512
+GROUPS = 1024
 
 
 def _binary(lengths: np.ndarray, flat: np.ndarray) -> pa.Array:
@@ -77,7 +77,7 @@ def _document_blocks(rows: DataFrame, key: str, block: int) -> DataFrame:
         _, times = _joined(table.column(3), np.int32)
         order = np.argsort(terms, kind="stable")
         own, begin = np.unique(terms[order], return_index=True)
-        at, tf = np.repeat(np.arange(table.num_rows, dtype=np.uint16), lengths)[order], times[order]
+        at, tf = np.repeat(np.arange(table.num_rows, dtype=np.uint32), lengths)[order], times[order]
         tf = tf.astype(np.min_scalar_type(int(tf.max()) if len(tf) else 0))
         ids = table.column(0).combine_chunks()
         values = [ids.to_pylist()], [table.column(1).to_numpy().astype(np.float64).tobytes()], [own.tobytes()], [np.append(begin, len(at)).astype(np.int64).tobytes()], [at.tobytes()], [tf.tobytes()], [tf.dtype.str]
@@ -142,34 +142,35 @@ class _Held:
         self.damp = limits.k1 * (1 - limits.b + limits.b * dl / avgdl)
         ranks, counts = rank[terms], np.diff(begin)
         self.parts = (np.repeat(idf[ranks], counts) * tf / (tf + self.damp[at])).astype(np.float32)
-        self.place = np.full(len(rank), -1)
-        self.place[ranks] = np.arange(len(ranks))
-        self.idf = idf
+        place, row = np.full(len(rank), -1), np.full(len(rank), -1)
+        place[ranks] = np.arange(len(ranks))
         full = np.flatnonzero((counts >= max(1, self.size * FULL)) & used[ranks])
         width = -(-self.size // GROUPS) * GROUPS
-        self.row = np.full(len(rank), -1)
-        self.row[ranks[full]] = np.arange(len(full))
+        row[ranks[full]] = np.arange(len(full))
+        self.place, self.row, self.idf = place.tolist(), row.tolist(), idf.tolist()  # read one by one
         self.values, self.counts = np.zeros((len(full), width), np.float32), np.zeros((len(full), self.size), tf.dtype)
         for j, i in enumerate(full):
             own = self.postings(i)
             self.values[j, at[own]], self.counts[j, at[own]] = self.parts[own], tf[own]
-        self.most = self.values.max(axis=1) if len(full) else np.zeros(0, np.float32)
+        self.most = self.values.max(axis=1).tolist() if len(full) else []
 
     def postings(self, i: int) -> slice:
         return slice(self.begin[i], self.begin[i + 1])
 
     def exact(self, docs: np.ndarray, question: list) -> np.ndarray:
         """Scores of some documents in full precision, added up in one order in all blocks, so that equal documents are equal."""
-        damp, out = self.damp[docs], np.zeros(len(docs))
-        for r, times in question:
-            if self.row[r] >= 0:
-                n = self.counts[self.row[r], docs].astype(np.float64)
-            else:
+        n, damp, out = np.empty((len(question), len(docs))), self.damp[docs], np.zeros(len(docs))
+        rows = [self.row[r] for r, _ in question]
+        n[:] = self.counts[np.array(rows)[:, None], docs] if len(self.counts) else 0
+        for j, (r, _) in enumerate(question):
+            if rows[j] < 0:
                 own = self.postings(self.place[r])
-                where, n = self.at[own], self.tf[own]
+                where = self.at[own]
                 i = np.minimum(np.searchsorted(where, docs), len(where) - 1)
-                n = np.where(where[i] == docs, n[i], 0.0)
-            out += times * self.idf[r] * n / (n + damp)
+                n[j] = np.where(where[i] == docs, self.tf[own][i], 0)
+        n *= np.array([[t * self.idf[r]] for r, t in question]) / (n + damp)
+        for part in n:
+            out += part
         return out
 
 
@@ -189,7 +190,7 @@ def _met(held: _Held, questions: list, top: np.ndarray, k: int) -> Iterator[tupl
             continue
         full, rare = [x for x in own if held.row[x[0]] >= 0], [x for x in own if held.row[x[0]] < 0]
         error = 2.4e-7 * (len(own) + 2) * sum(t * held.idf[r] for r, t in own)
-        bound = top[number, 0] - error
+        bound = float(top[number, 0]) - error
         if rare and bound > sum(t * held.most[held.row[r]] for r, t in full) + error:
             docs = np.unique(np.concatenate([held.at[held.postings(held.place[r])] for r, _ in rare]))  # no other can be among the best
         else:
@@ -213,13 +214,17 @@ def _met(held: _Held, questions: list, top: np.ndarray, k: int) -> Iterator[tupl
                     where = held.postings(held.place[r])
                     s[held.at[where]] += np.float32(t) * held.parts[where]
             largest = s.reshape(-1, GROUPS).max(axis=0)
-            bound = max(bound, np.partition(largest, GROUPS - k)[GROUPS - k] - error)
-            docs = np.flatnonzero(s >= bound if bound > 0 else s > 0)
+            bound = max(bound, float(np.partition(largest, GROUPS - k)[GROUPS - k]) - error, 1e-30)
+            groups = np.flatnonzero(largest >= bound)
+            nth, group = np.nonzero(s.reshape(-1, GROUPS)[:, groups] >= np.float32(bound))
+            docs = np.sort(nth * GROUPS + groups[group])
         if not len(docs):
             continue
         scores = held.exact(docs, own)
         order = np.argsort(-np.round(scores, 9), kind="stable")[:k]  # places are in the order of the ids
         docs, scores = docs[order], scores[order]
+        if top[number, 0] > -np.inf and scores[0] < top[number, 0] - 2e-9:
+            continue
         top[number] = np.sort(np.concatenate([top[number], scores]))[-k:]
         good = scores >= top[number, 0] - 2e-9
         yield number, docs[good], scores[good]
@@ -228,8 +233,8 @@ def _met(held: _Held, questions: list, top: np.ndarray, k: int) -> Iterator[tupl
 def bm25_many(docs: DataFrame, questions: DataFrame, k: int, key: str = "id", text: str = "text", limits: Limits = LIMITS, block: int = BLOCK, fill: int = FILL, most: int = QUESTIONS) -> DataFrame:
     """qid, id, score, rank: the ``k`` best of all ``docs`` for each of the ``questions`` (qid, q), as ``search`` ranks them.
 
-    Rows of ``docs`` that are equal count once. Questions of the same terms are scored once. The questions' words and their counts go through the driver and to
-    every task; questions, documents and scores do not.
+    Rows of ``docs`` that are equal count once. Questions of the same terms are scored once. The questions' words
+    and their counts go through the driver and to every task; questions, documents and scores do not.
     """
     if k > GROUPS:
         raise ValueError(f"k is {GROUPS} at most")
@@ -264,7 +269,7 @@ def bm25_many(docs: DataFrame, questions: DataFrame, k: int, key: str = "id", te
                     pairs, used = list(zip(get("ranks", np.int32).tolist(), get("times", np.int32).tolist())), np.zeros(len(rank), bool)
                     used[get("ranks", np.int32)] = True
                     questions, top = [pairs[a:b] for a, b in zip([0, *ends], ends)], np.full((len(ends), k), -np.inf)
-                held = _Held(get("dl", np.float64), get("terms", np.int32), get("begin", np.int64), get("at", np.uint16), get("tf", np.dtype(batch.column("kind")[i].as_py())), rank, idf, used, avgdl, limits)
+                held = _Held(get("dl", np.float64), get("terms", np.int32), get("begin", np.int64), get("at", np.uint32), get("tf", np.dtype(batch.column("kind")[i].as_py())), rank, idf, used, avgdl, limits)
                 found = list(_met(held, questions, top, k))
                 if found:
                     numbers, places, scores = zip(*found)
